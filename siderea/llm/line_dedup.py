@@ -13,16 +13,16 @@ Null and empty texts are one empty line. Documents are told apart by doc_id: row
 largest doc_id keep their lines, and a null doc_id counts as one id smaller than all others. Other columns are not read.
 """
 
-from __future__ import annotations
-
 import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from xxhash import xxh3_128_digest
 
 from siderea.llm.common import SPACE, read_table, row_key, save, tune
@@ -140,6 +140,12 @@ def apply_bitmap(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
+@F.pandas_udf(StringType())
+def kept_text(texts: pd.Series, keep: pd.Series) -> pd.Series:
+    """The text that a bitmap leaves; the text itself where there is none."""
+    return pd.Series([t if k is None else apply_bitmap((t or "").encode(), k)[2].decode() for t, k in zip(texts, keep, strict=True)], dtype="object")
+
+
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, kept, kept_sha256) for each document; kept is the text that stays, "" for a null one."""
     found = bitmaps(docs, min_chars, min_docs)

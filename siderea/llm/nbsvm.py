@@ -13,12 +13,11 @@ nothing; of repeated labels of a doc_id the least counts. With one class only th
 A null doc_id is never held out. Repeated doc_ids are scored one by one. Other columns are not read.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,6 +162,21 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
 
 
+def score_column(spark: SparkSession, model: Model):
+    """The score as a function of a text column, for filters that keep all other columns in the JVM."""
+    tune(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        last = np.zeros(1 << DIM_BITS, np.int64)
+        m = shared.value
+        for t in texts:
+            yield pd.Series([m.score(indicators((x or "").encode(), last)) for x in t], dtype="float64")
+
+    return score
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

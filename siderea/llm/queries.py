@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from siderea.llm.cube_mixing import op1_cube_mixing
 from siderea.llm.hilbert_ann import op3_hilbert_ann
+from siderea.llm.langid import op4_bayes_langid
 from siderea.llm.line_dedup import op9_line_dedup
 from siderea.llm.lsa_leaks import op10_lsa_leaks
 from siderea.llm.nbsvm import op7_nbsvm
@@ -21,12 +23,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_hilbert_ann": op3_hilbert_ann,
+    "op4_bayes_langid": op4_bayes_langid,
     "op5_warc_writer": op5_warc_writer,
     "op6_simhash": op6_simhash,
     "op7_nbsvm": op7_nbsvm,
     "op8_recompression": op8_recompression,
     "op9_line_dedup": op9_line_dedup,
     "op10_lsa_leaks": op10_lsa_leaks,
+    "pipeline": corpus_pipeline.run,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
