@@ -31,11 +31,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siderea.llm.common import read_table, shared_dir, tune
+from siderea.llm.common import read_table, save, shared_dir, tune
 
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 32 << 20
 LEAST_REVISIT = 1000
+MOST_BROADCAST = 100_000  # rows of 48 bytes
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = -(1 << 63)
@@ -133,10 +134,15 @@ def _bounds(keyed: DataFrame, shards: int, rows: int) -> list[tuple[str, int]]:
 
 
 def roles(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """pages (page_id, url, html) with payload, digest and refers_to. Winners are few rows, and Spark joins them as their size tells."""
+    """pages (page_id, url, html) with payload, digest and refers_to.
+
+    Payloads that occur more than once are found from digests alone. They are broadcast if there are at most MOST_BROADCAST of them, so
+    that html isn't shuffled for the join; more are joined by digest, where Spark splits a very common one.
+    """
     told = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     many = told.filter(F.length("payload") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = told.join(many, "digest", "left")
+    many = save(many, "repeated-payloads")
+    joined = told.join(F.broadcast(many) if many.count() <= MOST_BROADCAST else many, "digest", "left")
     return joined.withColumn("refers_to", F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))).drop("top")
 
 
@@ -157,7 +163,7 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
 
     cols = roles(pages, least_revisit).select("page_id", "url", "payload", "digest", "refers_to")
     placed = cols.mapInArrow(place, "page_id long, url string, payload binary, digest string, refers_to long, shard int")
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(LEAST)), "digest")
+    dealt = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(LEAST)), "digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, done = None, []
@@ -243,7 +249,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    return manifest.repartition("file").mapInArrow(run, RECORDS)
+    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(run, RECORDS)
 
 
 def op5_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
