@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from siderea.functions import metadata as meta
 from siderea.model import DQ_FLAGS, QualityGate, Rejection
 from siderea.operators import calibrate, compare, ledger, localnorm, matching, quality, register, stack, stars, tuning, warp
+from siderea.sources import fits
+from siderea.sources.shared import shared_folder
 from siderea.sources.tables import IMAGES_SQL, SAMPLES_SQL, cents, images, samples, table
+from siderea.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -702,6 +705,27 @@ def greedy_tiles(spark, sf):
     return tuning.greedy_tiles(t, "score", 16)
 
 
+# --- sources and streams -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id AS frame, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x, CAST(embedding[p + 1] AS DOUBLE) AS v, 0 AS dq FROM (SELECT vec_id, embedding, unnest(range(64)) AS p FROM embeddings WHERE vec_id < 40)")
+def fits_round_trip(spark, sf):
+    """Write some frames as FITS files and scan them tile by tile."""
+    e = table(spark, sf, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("p", "v"))
+    folder = shared_folder(spark, "fits")
+    fits.write_images(e.select("frame", F.expr("cast(p div 8 as int)").alias("y"), F.expr("cast(p % 8 as int)").alias("x"), "v"), folder).count()
+    spark.dataSource.register(fits.FitsSource)
+    p = fits.pixels(spark.read.format("fits").option("tile", 8).load(folder))
+    return p.select(F.regexp_extract("path", r"(\d+)\.fits$", 1).cast("bigint").alias("frame"), "y", "x", F.col("v").cast("double").alias("v"), "dq")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, round(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_running_mean(spark, sf):
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    m = running.drain(running.running_mean(events, "ts", ["event_type"], cents("value")))
+    return rounded(m.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "mean", "n"), "mean")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: sigma-clipped stack."""
     return reject_sigma(spark, sf)
