@@ -94,7 +94,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, vec) of the rows that take part, and their length."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("vec")).filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
     v = v.filter(~F.exists("vec", bad)).filter(F.exists("vec", lambda x: x != 0))
     length = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     n = length[0].n if length else 0
@@ -109,7 +110,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = CURV
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = min(dims, length)
     v = v.withColumns({"v1": F.xxhash64(F.lit(1), "vec"), "v2": F.xxhash64(F.lit(2), "vec")})
-    asked = v.filter(is_query).select(F.col("vec_id").alias("query_id"), "v1", "v2")
+    kind = v.schema["vec"].dataType.simpleString()
+    asked = save(v.filter(is_query).select(F.col("vec_id").alias("query_id"), "v1", "v2"), "queries")
     few = v.withColumn("r", F.dense_rank().over(Window.partitionBy("v1", "v2").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     items = few.groupBy("v1", "v2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vec").alias("vec"))
     queried = asked.select("v1", "v2").distinct().withColumn("q", F.lit(True))
@@ -139,7 +141,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = CURV
                 h = hilbert_index(cells[:, c * dims : (c + 1) * dims], bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c, np.int32)), pa.array(h), *(b.column(x) for x in ("v1", "v2", "ids", "vec", "q"))], ["curve", "key", "v1", "v2", "ids", "vec", "q"])
 
-    along = items.mapInArrow(keys, "curve int, key long, v1 long, v2 long, ids array<long>, vec array<double>, q boolean")
+    along = items.mapInArrow(keys, f"curve int, key long, v1 long, v2 long, ids array<long>, vec {kind}, q boolean")
     order = ["curve", "key", "v1", "v2"]
     laid = along.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     laid = save(laid, "curves")  # written, so that a row's place never changes
@@ -155,7 +157,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = CURV
     near = F.sequence(F.greatest(F.lit(0), F.col("block") - wide), F.least(F.lit(blocks - 1), F.col("block") + wide))
     asks = ranked.filter("q").withColumns({"side": F.lit(1), "ids": F.lit(None).cast("array<long>")}).withColumn("block", F.explode(near)).select(*cols)
     both = here.unionByName(asks).repartition("curve", "block").sortWithinPartitions("curve", "block", "side")
-    found = both.mapInArrow(compare(k + 1), "v1 long, v2 long, vec_id long, score double")
+    found = save(both.mapInArrow(compare(k + 1), "v1 long, v2 long, vec_id long, score double"), "found")
     best = found.groupBy("v1", "v2", "vec_id").agg(F.max("score").alias("score"))
     most = Window.partitionBy("v1", "v2").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= k + 1).drop("r")
