@@ -29,7 +29,7 @@ from siderea.llm.common import WORD, read_table, save
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its size, for sources and documents
-BLOCK = 20_000
+BLOCK = 2_000
 EPS = 1e-9
 
 
