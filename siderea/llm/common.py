@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, as one text may be megabytes long and a Python worker has a few hundred megabytes."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "5000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
         spark.conf.set(key, value)
     return spark
 

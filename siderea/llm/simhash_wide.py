@@ -2,10 +2,11 @@
 
 Two documents whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits, so of 64
 bits no byte is sure to be shared, and no index of positional bytes can promise every link. Over 32 bytes such a pair shares
-eight bytes on average. The index posts a fingerprint under LISTS pairs of its positional bytes; in a list the shared bytes are
-tallied per pair, those with fewer than LEAST_SHARED are dropped, and the rest are verified by all bits: BITS is the number
-that similarity 0.8 reaches (its estimate has a deviation of about 0.05). Lists of more than `hot` fingerprints are split by
-further pairs of bytes. Recall is measured in tests/llm/test_simhash.py and stated in the README.
+eight bytes on average. The index posts a fingerprint under LISTS pairs of its first BYTES positional bytes; in a list the
+shared bytes are tallied per pair, those with fewer than LEAST_SHARED are dropped, and so are pairs that differ in more than BITS
+bits. Links are then verified by sketches of LONG bytes: LONG_BITS is what similarity 0.8 reaches, with a deviation of 0.03.
+Lists of more than `hot` fingerprints are split by further pairs of bytes. Lists of up to ALL fingerprints give all their links,
+longer ones a spanning forest. Recall is measured in tests/llm/test_pairs.py and stated in the README.
 
 Equal fingerprints (all copies among them) are one node. Texts without words resemble nothing and are left out.
 """
@@ -18,19 +19,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
 from siderea.llm.common import SPACE, save, tune
-from siderea.llm.components import components, spanning
+from siderea.llm.components import components
 from siderea.llm.repeats import mix
 
 SHINGLE = 5
 BYTES = 32
-BITS = 46
-LISTS = 48
+LONG = 128
+LONG_BITS = 172
+ALL = 8
+BITS = 48
+LISTS = 96
 LEAST_SHARED = 3
 HOT = 8192
+AT_ONCE = 48  # lists posted in one round, which bounds what a round shuffles
 SEED = 42
+PARTS = [f"p{i}" for i in range(BYTES // 8)]
 _BREAKS = bytes.maketrans(SPACE, b" " * len(SPACE))
 
 
@@ -43,7 +49,7 @@ def pairs_of_bytes(lists: int = LISTS) -> list[tuple[int, int]]:
 
 
 def sketch(text: bytes, shingle: int = SHINGLE) -> bytes | None:
-    """BYTES bytes, None without words."""
+    """LONG bytes, None without words."""
     words = [w for w in text.lower().translate(_BREAKS).split(b" ") if w]
     if not words:
         return None
@@ -54,10 +60,10 @@ def sketch(text: bytes, shingle: int = SHINGLE) -> bytes | None:
     stops = (ends - 1)[-n:].tolist() if len(words) >= shingle else [len(line)]
     h = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
     h = np.unique(h)  # a set of shingles
-    ones = np.zeros(8 * BYTES, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        part = h[i : i + (1 << 14)]
-        lanes = np.stack([mix(part + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(BYTES // 8)], axis=1)
+    ones = np.zeros(8 * LONG, np.int64)
+    for i in range(0, len(h), 1 << 12):
+        part = h[i : i + (1 << 12)]
+        lanes = np.stack([mix(part + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(LONG // 8)], axis=1)
         ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
 
@@ -70,71 +76,103 @@ def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
+class Groups:
+    """Which of n rows are linked so far: label holds the least row of each group."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for i, j, x, y in zip(a.tolist(), b.tolist(), self.label[a].tolist(), self.label[b].tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                self.links.append((i, j))
+        if up:
+            new = np.arange(len(self.label))
+            for x in up:
+                new[x] = root(x)
+            self.label = new[self.label]
+
+
 def link_lists(bits: int, hot: int, last: bool):
-    """Rows (key, node, fp) sorted by key: a spanning forest (a, b) of each list's links; longer lists than hot come back with
-    their fingerprint and key, unless last."""
+    """Rows (key, id, p0 to p3) sorted by key: links (a, b) of each list, of a longer one a spanning forest; longer lists than hot come back with
+    their fingerprint and key, unless last. In a forest, pairs that are linked already aren't compared."""
 
     def out(a, b=None, fp=None, key=None) -> pa.RecordBatch:
-        none = [None] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(none if b is None else b, pa.binary()), pa.array(none if fp is None else fp, pa.binary()), pa.array(none if key is None else key, pa.int64())], ["a", "b", "fp", "key"])
+        none = pa.nulls(len(a), pa.int64())
+        parts = [none] * len(PARTS) if fp is None else [pa.array(fp[:, i].view(np.int64)) for i in range(len(PARTS))]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if key is None else pa.array(key, pa.int64()), *parts], ["a", "b", "key", *PARTS])
 
-    def links(key: np.ndarray, node: list[bytes], fp: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
-        if not last and (sizes > hot).any():
-            at = np.flatnonzero(sizes > hot).tolist()
-            yield out([node[i] for i in at], None, [fp[i] for i in at], key[at])
-            at = np.flatnonzero(sizes <= hot)
-            key, node, fp = key[at], [node[i] for i in at.tolist()], [fp[i] for i in at.tolist()]
-            if not len(key):
-                return
-        m = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
-        left, right, at, d = [], [], np.arange(len(key)), 1
+        lengths = np.diff(np.r_[starts, len(key)])
+        long = np.repeat(lengths > hot, lengths)
+        if not last and long.any():
+            yield out(ids[long], None, np.ascontiguousarray(fp[long]), key[long])
+            key, ids, fp = key[~long], ids[~long], fp[~long]
+        if not len(key):
+            return
+        lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+        short = np.repeat(lengths <= ALL, lengths)
+        found, at, d = Groups(len(key)), np.arange(len(key)), 1
         while len(at):
             at = at[at + d < len(key)]
             at = at[key[at + d] == key[at]]
-            for i in range(0, len(at), 200_000):
-                part = at[i : i + 200_000]
-                ok = part[near(m[part], m[part + d], bits)]
-                left += ok.tolist()
-                right += (ok + d).tolist()
+            few = at[short[at]]
+            ok = few[near(fp[few], fp[few + d], bits)]
+            if len(ok):
+                yield out(ids[ok], ids[ok + d])
+            new = at[~short[at]]
+            new = new[found.label[new] != found.label[new + d]]
+            for i in range(0, len(new), 20_000):
+                part = new[i : i + 20_000]
+                ok = part[near(fp[part], fp[part + d], bits)]
+                found.join(ok, ok + d)
             d += 1
-            if len(left) > 500_000:
-                left, right = spanning(left, right)
-        a, b = spanning([node[i] for i in left], [node[i] for i in right])
-        if a:
-            yield out(a, b)
+        if found.links:
+            a, b = np.array(found.links).T
+            yield out(ids[a], ids[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, fp, over = np.zeros(0, np.int64), [], [], None
+        key, ids, fp, over = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BYTES // 8), np.uint64), None
         for b in batches:
-            k, n, f = b.column("key").to_numpy(), b.column("node").to_pylist(), b.column("fp").to_pylist()
+            k, n = b.column("key").to_numpy(), b.column("id").to_numpy()
+            f = np.stack([b.column(p).to_numpy().view(np.uint64) for p in PARTS], axis=1)
             if over is not None:
                 c = int(np.argmax(k != over)) if (k != over).any() else len(k)
                 if c:
-                    yield out(n[:c], None, f[:c], k[:c])
+                    yield out(n[:c], None, f[:c].copy(), k[:c])
                 k, n, f = k[c:], n[c:], f[c:]
                 if len(k):
                     over = None
-            key, node, fp = np.r_[key, k], node + n, fp + f
+            key, ids, fp = np.r_[key, k], np.r_[ids, n], np.concatenate([fp, f])
             if len(key) < 20_000:
                 continue
             cut = int(np.argmax(key == key[-1]))
             if cut:
-                yield from links(key[:cut], node[:cut], fp[:cut])
-                key, node, fp = key[cut:], node[cut:], fp[cut:]
+                yield from links(key[:cut], ids[:cut], fp[:cut])
+                key, ids, fp = key[cut:], ids[cut:], fp[cut:]
             if len(key) > hot and not last:
                 over = int(key[-1])
-                yield out(node, None, fp, key)
-                key, node, fp = key[:0], [], []
+                yield out(ids, None, fp, key)
+                key, ids, fp = key[:0], ids[:0], fp[:0]
         if len(key):
-            yield from links(key, node, fp)
+            yield from links(key, ids, fp)
 
     return run
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, node, fp of the documents (doc_id, text, k1, k2) that have words."""
+    """doc_id, k1, k2, fp (LONG bytes) and its first BYTES as longs, of the documents (doc_id, text, k1, k2) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,31 +180,49 @@ def sketches(docs: DataFrame) -> DataFrame:
             at = [i for i, f in enumerate(fps) if f is not None]
             take = b.take(pa.array(at, pa.int64()))
             got = [fps[i] for i in at]
-            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array([xxh3_128_digest(f) for f in got], pa.binary()), pa.array(got, pa.binary())], ["doc_id", "k1", "k2", "node", "fp"])
+            m = np.frombuffer(b"".join(got), np.int64).reshape(len(got), -1)
+            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(got, pa.binary()), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(len(PARTS)))], ["doc_id", "k1", "k2", "fp", *PARTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, node binary, fp binary")
+    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp binary, " + ", ".join(f"{p} long" for p in PARTS))
 
 
-def _posts(rows: DataFrame, pairs: list[tuple[int, int]], within: str | None = None) -> DataFrame:
+def _posts(rows: DataFrame, pairs: list[tuple[int, int]], tag: int, within: str | None = None) -> DataFrame:
     """A row for each pair of positional bytes: its key (hashed with the list it splits, where there is one)."""
-    byte = lambda i: F.conv(F.hex(F.substring("fp", i + 1, 1)), 16, 10).cast("long")
-    keys = F.array(*[F.lit(t * 65536) + byte(i) * 256 + byte(j) for t, (i, j) in enumerate(pairs)])
-    out = rows.select("node", "fp", *([within] if within else []), F.explode(keys).alias("key"))
+    byte = lambda i: F.expr(f"shiftrightunsigned({PARTS[i // 8]}, {8 * (i % 8)}) & 255L")
+    keys = F.array(*[F.lit((tag + t) * 65536) + byte(i) * 256 + byte(j) for t, (i, j) in enumerate(pairs)])
+    out = rows.select("id", *PARTS, *([within] if within else []), F.explode(keys).alias("key"))
     return out.withColumn("key", F.xxhash64(within, "key")).drop(within) if within else out
 
 
-def groups(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+def verify(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("fa", "fb"))
+                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= bits)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    return run
+
+
+def groups(docs: DataFrame, bits: int = BITS, hot: int = HOT, long_bits: int = LONG_BITS) -> DataFrame:
     """(doc_id, k1, k2, component) for the documents (doc_id, text, k1, k2) that have words; component is the same for all of a group."""
     tune(docs.sparkSession)
     prints = save(sketches(docs), "sketches")
-    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"))
-    schema = "a binary, b binary, fp binary, key long"
-    found = save(_posts(nodes, pairs_of_bytes()).repartition("key").sortWithinPartitions("key").mapInArrow(link_lists(bits, hot, False), schema), "wide-lists")
-    links = found.filter("b is not null").select("a", "b")
-    over = found.filter("key is not null").select(F.col("a").alias("node"), "fp", F.col("key").alias("of"))
-    if not over.isEmpty():
-        more = _posts(over, pairs_of_bytes(BYTES), "of").repartition("key").sortWithinPartitions("key").mapInArrow(link_lists(bits, hot, True), schema)
-        links = links.union(more.select("a", "b"))
-    roots = components(links)
-    return prints.join(roots, "node", "left").select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("component"))
+    # written, so that the numbers stay
+    nodes = save(prints.groupBy("fp", *PARTS).count().select("fp", *PARTS, F.monotonically_increasing_id().alias("id")), "distinct-sketches")
+    schema = ", ".join(f"{c} long" for c in ("a", "b", "key", *PARTS))
+    lists = lambda posts, last: posts.repartition("key").sortWithinPartitions("key").mapInArrow(link_lists(bits, hot, last), schema)
+    pairs, links = pairs_of_bytes(), None
+    for i in range(0, len(pairs), AT_ONCE):
+        found = save(lists(_posts(nodes.select("id", *PARTS), pairs[i : i + AT_ONCE], i), False), "wide-lists")
+        new = found.filter("b is not null").select("a", "b")
+        over = found.filter("key is not null").select(F.col("a").alias("id"), F.col("key").alias("of"), *PARTS)
+        if not over.isEmpty():
+            new = new.union(save(lists(_posts(over, pairs_of_bytes(BYTES), 0, "of"), True), "split-lists").select("a", "b"))
+        links = new if links is None else links.union(new)
+    sides = [nodes.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}")) for x in ("a", "b")]
+    alike = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(sides[0], "a").join(sides[1], "b").mapInArrow(verify(long_bits), "a long, b long")
+    named = nodes.select("id", "fp").join(components(alike), F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component"))
+    return prints.join(named, "fp").select("doc_id", "k1", "k2", "component")

@@ -92,10 +92,11 @@ def test_groups_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 2), (0, 2), (2, 2), (3, 3), (3, 3)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_components(spark, few):
     rnd = random.Random(1)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, j) for j in range(2001, 2200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), few).collect()}
     n = 2200
     roots = union(n, links)
     assert set(got) == {x for a, b in links if a != b for x in (a, b)}
