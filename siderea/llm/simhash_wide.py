@@ -180,7 +180,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             at = [i for i, f in enumerate(fps) if f is not None]
             take = b.take(pa.array(at, pa.int64()))
             got = [fps[i] for i in at]
-            m = np.frombuffer(b"".join(got), np.int64).reshape(len(got), -1)
+            m = np.frombuffer(b"".join(got), np.int64).reshape(len(got), LONG // 8)
             yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(got, pa.binary()), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(len(PARTS)))], ["doc_id", "k1", "k2", "fp", *PARTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
