@@ -1,14 +1,16 @@
-"""Near-duplicate groups at a lower similarity: SimHash of BYTES bytes, the same positional index and count filter.
-
-Two documents whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits, so of 64
-bits no byte is sure to be shared, and no index of positional bytes can promise every link. Over 32 bytes such a pair shares
-eight bytes on average. The index posts a fingerprint under LISTS pairs of its first BYTES positional bytes; in a list the
-shared bytes are tallied per pair, those with fewer than LEAST_SHARED are dropped, and so are pairs that differ in more than BITS
-bits. Links are then verified by sketches of LONG bytes: LONG_BITS is what similarity 0.8 reaches, with a deviation of 0.03.
-Lists of more than `hot` fingerprints are split by further pairs of bytes. Lists of up to ALL fingerprints give all their links,
-longer ones a spanning forest. Recall is measured in tests/llm/test_pairs.py and stated in the README.
-
-Equal fingerprints (all copies among them) are one node. Texts without words resemble nothing and are left out.
+"""Near-duplicate groups at a lower similarity: exact Jaccard of five-word shingles, found by shared prefixes.
+
+Two documents are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are the connected
+components of the links. (Of a SimHash's bits such pairs differ in 15 % or, if short, in more, so no bound on bits tells them apart.)
+Sets are kept in one order, shingles that are common in a sample of documents last; the order changes the work, never the result.
+Linked sets of sizes x and y share ceil(4 (x + y) / 9) shingles, so their first one fifth (and one more) have a shingle in common:
+each set is posted under those, and a list holds the sets posted under one shingle. Sizes and places rule out pairs that can't
+reach the similarity; no other pair is left out. Lists of up to ALL give all their pairs, which are verified by their sets. Longer ones get
+the sets, and one task joins what it has verified, so no unverified pair ever joins a group; lists of more than `hot` are dealt into blocks
+and every two blocks meet. One key in ROUND goes first: lists whose sets it has joined already are left alone by the others.
+
+Equal sets (all copies among them) are one node. Texts of fewer than five words are one shingle. Texts without words resemble
+nothing and are left out. Shingles are told apart by 48 bits of a hash.
 """
 
 from __future__ import annotations
@@ -23,33 +25,21 @@ from xxhash import xxh64_intdigest
 
 from siderea.llm.common import SPACE, save, tune
 from siderea.llm.components import components
-from siderea.llm.repeats import mix
 
 SHINGLE = 5
-BYTES = 32
-LONG = 128
-LONG_BITS = 172
 ALL = 8
-BITS = 48
-LISTS = 96
-LEAST_SHARED = 3
-HOT = 8192
-AT_ONCE = 48  # lists posted in one round, which bounds what a round shuffles
+HOT = 1024
+ROUND = 16
+SAMPLE = 20_000  # documents whose shingles tell which are common
+COMMON = 5
+MOST_COMMON = 200_000
+FEW = 500_000  # rows of three longs that are broadcast at most
 SEED = 42
-PARTS = [f"p{i}" for i in range(BYTES // 8)]
 _BREAKS = bytes.maketrans(SPACE, b" " * len(SPACE))
 
 
-def pairs_of_bytes(lists: int = LISTS) -> list[tuple[int, int]]:
-    """Pairs of positions, each position in as many as any other: by growing distance around the circle of positions."""
-    every = [(i, (i + d) % BYTES) for d in range(1, BYTES // 2) for i in range(BYTES)]
-    if lists % (BYTES // 2):
-        raise ValueError(f"lists must be a multiple of {BYTES // 2}")
-    return (every[0 : 2 * BYTES : 2] + every[1 : 2 * BYTES : 2] + every[2 * BYTES :])[:lists]
-
-
-def sketch(text: bytes, shingle: int = SHINGLE) -> bytes | None:
-    """LONG bytes, None without words."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray | None:
+    """The sorted set, None without words."""
     words = [w for w in text.lower().translate(_BREAKS).split(b" ") if w]
     if not words:
         return None
@@ -59,170 +49,234 @@ def sketch(text: bytes, shingle: int = SHINGLE) -> bytes | None:
     n = max(1, len(words) - shingle + 1)
     stops = (ends - 1)[-n:].tolist() if len(words) >= shingle else [len(line)]
     h = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
-    h = np.unique(h)  # a set of shingles
-    ones = np.zeros(8 * LONG, np.int64)
-    for i in range(0, len(h), 1 << 12):
-        part = h[i : i + (1 << 12)]
-        lanes = np.stack([mix(part + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(LONG // 8)], axis=1)
-        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
-
-
-def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Count filter, then bits, for pairs of fingerprints (rows of 64-bit words)."""
-    x = a ^ b
-    ok = (x.view(np.uint8) == 0).sum(axis=1) >= LEAST_SHARED
-    ok[ok] = np.bitwise_count(x[ok]).sum(axis=1) <= bits
-    return ok
-
-
-class Groups:
-    """Which of n rows are linked so far: label holds the least row of each group."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while x in up:
-                x = up[x]
-            return x
-
-        for i, j, x, y in zip(a.tolist(), b.tolist(), self.label[a].tolist(), self.label[b].tolist(), strict=True):
-            x, y = root(x), root(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                self.links.append((i, j))
-        if up:
-            new = np.arange(len(self.label))
-            for x in up:
-                new[x] = root(x)
-            self.label = new[self.label]
-
-
-def link_lists(bits: int, hot: int, last: bool):
-    """Rows (key, id, p0 to p3) sorted by key: links (a, b) of each list, of a longer one a spanning forest; longer lists than hot come back with
-    their fingerprint and key, unless last. In a forest, pairs that are linked already aren't compared."""
-
-    def out(a, b=None, fp=None, key=None) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int64())
-        parts = [none] * len(PARTS) if fp is None else [pa.array(fp[:, i].view(np.int64)) for i in range(len(PARTS))]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if key is None else pa.array(key, pa.int64()), *parts], ["a", "b", "key", *PARTS])
-
-    def links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        lengths = np.diff(np.r_[starts, len(key)])
-        long = np.repeat(lengths > hot, lengths)
-        if not last and long.any():
-            yield out(ids[long], None, np.ascontiguousarray(fp[long]), key[long])
-            key, ids, fp = key[~long], ids[~long], fp[~long]
-        if not len(key):
-            return
-        lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
-        short = np.repeat(lengths <= ALL, lengths)
-        found, at, d = Groups(len(key)), np.arange(len(key)), 1
-        while len(at):
-            at = at[at + d < len(key)]
-            at = at[key[at + d] == key[at]]
-            few = at[short[at]]
-            ok = few[near(fp[few], fp[few + d], bits)]
-            if len(ok):
-                yield out(ids[ok], ids[ok + d])
-            new = at[~short[at]]
-            new = new[found.label[new] != found.label[new + d]]
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                ok = part[near(fp[part], fp[part + d], bits)]
-                found.join(ok, ok + d)
-            d += 1
-        if found.links:
-            a, b = np.array(found.links).T
-            yield out(ids[a], ids[b])
+    return np.unique(h >> np.uint64(16)).astype(np.int64)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Six bytes for each shingle."""
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
+def like(inter, x, y):
+    """Jaccard similarity of at least 0.8, in whole numbers."""
+    return 9 * inter >= 4 * (x + y)
+
+
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of h in the order: common shingles last, the most common at the end."""
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, rank))][: len(h) - (4 * len(h) + 4) // 5 + 1]
+
+
+def can_meet(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes x and y whose first shared shingle stands at i and j can be alike."""
+    return like(np.minimum(x - i, y - j), x, y)
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) of at least COMMON documents of a sample, with their counts."""
+    part = max(1, docs.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, fp, over = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BYTES // 8), np.uint64), None
         for b in batches:
-            k, n = b.column("key").to_numpy(), b.column("id").to_numpy()
-            f = np.stack([b.column(p).to_numpy().view(np.uint64) for p in PARTS], axis=1)
-            if over is not None:
-                c = int(np.argmax(k != over)) if (k != over).any() else len(k)
-                if c:
-                    yield out(n[:c], None, f[:c].copy(), k[:c])
-                k, n, f = k[c:], n[c:], f[c:]
-                if len(k):
-                    over = None
-            key, ids, fp = np.r_[key, k], np.r_[ids, n], np.concatenate([fp, f])
-            if len(key) < 20_000:
-                continue
-            cut = int(np.argmax(key == key[-1]))
-            if cut:
-                yield from links(key[:cut], ids[:cut], fp[:cut])
-                key, ids, fp = key[cut:], ids[cut:], fp[cut:]
-            if len(key) > hot and not last:
-                over = int(key[-1])
-                yield out(ids, None, fp, key)
-                key, ids, fp = key[:0], ids[:0], fp[:0]
-        if len(key):
-            yield from links(key, ids, fp)
+            got = [h for t in b.column("text").cast(pa.binary()).to_pylist() if (h := shingles(t or b"")) is not None]
+            h, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
-    return run
+    some = docs.filter(F.pmod("k1", F.lit(part)) == 0).select("text").mapInArrow(run, "h long, n long")
+    got = some.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = got["h"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, fp (LONG bytes) and its first BYTES as longs, of the documents (doc_id, text, k1, k2) that have words."""
+def prints_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, k1, k2, id (of the set), size and prefix of the documents (doc_id, text, k1, k2) that have words."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [sketch(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
-            at = [i for i, f in enumerate(fps) if f is not None]
-            take = b.take(pa.array(at, pa.int64()))
-            got = [fps[i] for i in at]
-            m = np.frombuffer(b"".join(got), np.int64).reshape(len(got), LONG // 8)
-            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(got, pa.binary()), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(len(PARTS)))], ["doc_id", "k1", "k2", "fp", *PARTS])
+            sets = [shingles(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
+            take = b.take(pa.array([i for i, h in enumerate(sets) if h is not None], pa.int64()))
+            sets = [h for h in sets if h is not None]
+            ids = np.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(ids), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(prefix(h, *sent.value)) for h in sets], pa.binary())], ["doc_id", "k1", "k2", "id", "size", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp binary, " + ", ".join(f"{p} long" for p in PARTS))
+    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, id long, size long, prefix binary")
+
+
+def posts(nodes: DataFrame, first: bool) -> DataFrame:
+    """A row (key, id, place, label) for each shingle of a prefix (id, size, prefix, label), of the first round's keys or the others; place
+    holds size and position. Label is 0 where it is the id: longs of zeros cost a shuffle little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [unpacked(x) for x in b.column("prefix").to_pylist()]
+            n = np.array([len(k) for k in keys], np.int64)
+            key = np.concatenate([*keys, np.zeros(0, np.int64)])
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (key % ROUND == 0) == first
+            ids, size, label = (np.repeat(b.column(c).to_numpy(), n)[ok] for c in ("id", "size", "label"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[ok], ids, size << 32 | pos[ok], label)], ["key", "id", "place", "label"])
 
+    return nodes.select("id", "size", "prefix", "label").mapInArrow(run, "key long, id long, place long, label long")
 
-def _posts(rows: DataFrame, pairs: list[tuple[int, int]], tag: int, within: str | None = None) -> DataFrame:
-    """A row for each pair of positional bytes: its key (hashed with the list it splits, where there is one)."""
-    byte = lambda i: F.expr(f"shiftrightunsigned({PARTS[i // 8]}, {8 * (i % 8)}) & 255L")
-    keys = F.array(*[F.lit((tag + t) * 65536) + byte(i) * 256 + byte(j) for t, (i, j) in enumerate(pairs)])
-    out = rows.select("id", *PARTS, *([within] if within else []), F.explode(keys).alias("key"))
-    return out.withColumn("key", F.xxhash64(within, "key")).drop(within) if within else out
 
+def meet(hot: int):
+    """Rows (key, id, place, label) sorted by key: pairs (a, b) of each list, without those of one label; a longer one comes back as its
+    ids and labels by key, in blocks."""
+
+    def out(a, b=None, key=None, label=None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *(none if x is None else pa.array(x, pa.int64()) for x in (b, key, label))], ["a", "b", "key", "label"])
+
+    def lists(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        mixed = np.minimum.reduceat(rows[4], starts) != np.maximum.reduceat(rows[4], starts)
+        rows = rows[:, np.repeat(mixed, np.diff(np.r_[starts, rows.shape[1]]))]
+        if not rows.shape[1]:
+            return
+        starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        lengths = np.diff(np.r_[starts, rows.shape[1]])
+        key, ids, size, pos, label = rows[:, np.repeat(lengths <= ALL, lengths)]
+        at = np.arange(len(key))
+        for d in range(1, ALL):
+            at = at[at + d < len(key)]
+            at = at[key[at + d] == key[at]]
+            ok = at[(label[at] != label[at + d]) & can_meet(size[at], pos[at], size[at + d], pos[at + d])]
+            if len(ok):
+                yield out(np.minimum(ids[ok], ids[ok + d]), np.maximum(ids[ok], ids[ok + d]))
+        for s, n in zip(starts[lengths > ALL].tolist(), lengths[lengths > ALL].tolist(), strict=True):
+            ids, label = rows[1, s : s + n], rows[4, s : s + n]
+            order = np.argsort(ids)
+            blocks = [order[i : i + hot] for i in range(0, n, hot)]
+            for i in range(len(blocks)):
+                for j in range(i) if i or len(blocks) > 1 else [0]:
+                    both = blocks[i] if i == j else np.r_[blocks[j], blocks[i]]
+                    # named by its members, as the lists of many shingles hold the same
+                    k = np.uint64(xxh64_intdigest(ids[both].tobytes(), SEED)).astype(np.int64)
+                    yield out(ids[both], None, np.full(len(both), k), label[both])
 
-def verify(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held, last = 0, None
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("fa", "fb"))
-                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= bits)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+            if not b.num_rows:
+                continue
+            key, ids, place, label = (b.column(c).to_numpy() for c in ("key", "id", "place", "label"))
+            rows = np.stack([key, ids, place >> 32, place & (1 << 32) - 1, np.where(label == 0, ids, label)])
+            if held >= 20_000 and rows[0, -1] != last:  # some list ends in here
+                cut = int(np.argmax(rows[0] == rows[0, -1]))
+                yield from lists(np.concatenate([*parts, rows[:, :cut]], axis=1))
+                parts, held, rows = [], 0, rows[:, cut:]
+            parts.append(rows)
+            held, last = held + rows.shape[1], rows[0, -1]
+        if parts:
+            yield from lists(np.concatenate(parts, axis=1))
 
     return run
 
 
-def groups(docs: DataFrame, bits: int = BITS, hot: int = HOT, long_bits: int = LONG_BITS) -> DataFrame:
+def joined(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links, each verified, that join all alike sets of a list, as far as labels haven't."""
+    n = np.array([len(h) for h in sets])
+    starts = np.cumsum(n) - n
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, links = np.zeros(int(token.max()) + 1, np.int64), []
+    label = np.unique(label, return_inverse=True)[1]
+    for i in range(len(sets) - 1):
+        js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        js = js[like(np.minimum(n[js], n[i]), n[js], n[i])]
+        if not len(js):
+            continue
+        at = np.cumsum(n[js]) - n[js]
+        mark[token[starts[i] : starts[i] + n[i]]] = 1
+        inter = np.add.reduceat(mark[token[np.arange(int(n[js].sum())) + np.repeat(starts[js] - at, n[js])]], at)
+        mark[token[starts[i] : starts[i] + n[i]]] = 0
+        for j in js[like(inter, n[js], n[i])].tolist():
+            if label[j] != label[i]:
+                links.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, label, h) sorted by key: verified links (a, b)."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        links = joined(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [unpacked(r[3]) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rows: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in ("key", "id", "label", "h")), strict=True):
+            if rows and rows[-1][0] != r[0]:
+                yield out(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield out(rows)
+
+
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pairs = [(unpacked(x), unpacked(y)) for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True)]
+        ok = pa.array([bool(like(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in pairs], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, which is saved, marked for a broadcast where it is small, as otherwise the other side of a join is shuffled before that is known."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def sets_of(docs: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, h): the set of each of ids, from the text of one document that has it."""
+    one = prints.join(few(save(ids.distinct(), "ids")), "id", "left_semi").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
+    one = few(save(one, "wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [packed(shingles(t)) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h, pa.binary())], ["id", "h"])
+
+    # copies that share an id and text share k1 and k2
+    found = docs.select("k1", "k2", "text").join(one, ["k1", "k2"]).select("id", "text").dropDuplicates(["id"])
+    return save(found.mapInArrow(run, "id long, h binary"), "sets")
+
+
+def links_of(docs: DataFrame, prints: DataFrame, nodes: DataFrame, first: bool, hot: int) -> DataFrame:
+    """Verified links (a, b) of one round."""
+    lists = posts(nodes, first).repartition("key").sortWithinPartitions("key").mapInArrow(meet(hot), "a long, b long, key long, label long")
+    found = save(lists, "prefix-lists")
+    pairs = save(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    long = found.filter("key is not null").select("key", F.col("a").alias("id"), "label").distinct()
+    long = save(long, "long-lists")
+    sets = sets_of(docs, prints, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(long.select("id")))
+    sides = [sets.select(F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b")]
+    links = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
+    by_list = long.join(sets, "id").select("key", "id", "label", "h").repartition("key").sortWithinPartitions("key").mapInArrow(join_lists, "a long, b long")
+    return save(links.union(by_list), "verified")
+
+
+def groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, k2, component) for the documents (doc_id, text, k1, k2) that have words; component is the same for all of a group."""
     tune(docs.sparkSession)
-    prints = save(sketches(docs), "sketches")
-    # written, so that the numbers stay
-    nodes = save(prints.groupBy("fp", *PARTS).count().select("fp", *PARTS, F.monotonically_increasing_id().alias("id")), "distinct-sketches")
-    schema = ", ".join(f"{c} long" for c in ("a", "b", "key", *PARTS))
-    lists = lambda posts, last: posts.repartition("key").sortWithinPartitions("key").mapInArrow(link_lists(bits, hot, last), schema)
-    pairs, links = pairs_of_bytes(), None
-    for i in range(0, len(pairs), AT_ONCE):
-        found = save(lists(_posts(nodes.select("id", *PARTS), pairs[i : i + AT_ONCE], i), False), "wide-lists")
-        new = found.filter("b is not null").select("a", "b")
-        over = found.filter("key is not null").select(F.col("a").alias("id"), F.col("key").alias("of"), *PARTS)
-        if not over.isEmpty():
-            new = new.union(save(lists(_posts(over, pairs_of_bytes(BYTES), 0, "of"), True), "split-lists").select("a", "b"))
-        links = new if links is None else links.union(new)
-    sides = [nodes.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}")) for x in ("a", "b")]
-    alike = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(sides[0], "a").join(sides[1], "b").mapInArrow(verify(long_bits), "a long, b long")
-    named = nodes.select("id", "fp").join(components(alike), F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component"))
-    return prints.join(named, "fp").select("doc_id", "k1", "k2", "component")
+    prints = save(prints_of(docs, common_shingles(docs)), "prints")
+    nodes = save(prints.groupBy("id").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    links = links_of(docs, prints, nodes.withColumn("label", F.lit(0).cast("long")), True, hot)
+    so_far = few(save(components(links).select(F.col("node").alias("id"), "root"), "so-far"))
+    labelled = nodes.join(so_far, "id", "left").withColumn("label", F.coalesce("root", F.lit(0).cast("long")))
+    links = links.union(links_of(docs, prints, labelled, False, hot))
+    named = components(links).select(F.col("node").alias("id"), "root")
+    return prints.join(named, "id", "left").select("doc_id", "k1", "k2", F.coalesce("root", "id").alias("component"))

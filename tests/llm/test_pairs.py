@@ -185,3 +185,39 @@ def test_bitmap_and_edges(spark):
     assert [i for i in range(11) if zlib.decompress(keep)[i // 8] >> i % 8 & 1] == [1, 2, 3, 4, 5, 6, 7, 8, 10]
     assert line_dedup.apply_bitmap(b"", None) == (1, 0, b"")
     assert line_dedup.bitmaps(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def exact_roots(texts):
+    """Components by brute force over five-word shingles."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    alike = lambda x, y: 9 * len(x & y) >= 4 * (len(x) + len(y))
+    return union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+
+
+def same_groups(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumns({"k1": F.col("doc_id"), "k2": F.lit(0).cast("long")})
+    comp = {r.doc_id: r.component for r in simhash_wide.groups(df, **more).collect()}
+    roots = exact_roots(texts)
+    both = {(comp[i], roots[i]) for i in range(len(texts))}
+    assert len(both) == len({c for c, _ in both}) == len({r for _, r in both})
+
+
+@pytest.mark.parametrize("hot", [1024, 10])
+def test_wide_groups_of_edited_copies(spark, hot):
+    """Lists far longer than ALL, of copies on both sides of 0.8 and of texts that share a passage alone: the groups of brute force."""
+    rnd = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    passage = [rnd.choice(vocab) for _ in range(40)]
+    texts = []
+    for _ in range(4):
+        base = [rnd.choice(vocab) for _ in range(120)]
+        for k in range(70):
+            copy = list(base)
+            for _ in range(k % 6):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocab)
+            texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(rnd.choice(vocab) for _ in range(rnd.randint(0, 30)))]) for _ in range(60)]
+    same_groups(spark, texts, hot=hot)
