@@ -221,3 +221,14 @@ def test_wide_groups_of_edited_copies(spark, hot):
             texts.append(" ".join(copy))
     texts += [" ".join([*passage, *(rnd.choice(vocab) for _ in range(rnd.randint(0, 30)))]) for _ in range(60)]
     same_groups(spark, texts, hot=hot)
+
+
+def test_wide_groups_of_short_texts(spark):
+    """Eight words and the same with one more share 4 of 5 shingles; of six and seven words, 2 of 3."""
+    rnd = random.Random(13)
+    texts = []
+    for n in (1, 3, 4, 5, 6, 8, 9, 12, 20):
+        for k in range(12):
+            base = [f"s{rnd.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join([*base, f"more{k}"]), " ".join([f"less{k}", *base])]
+    same_groups(spark, texts)
