@@ -242,6 +242,18 @@ def test_leaks(spark):
     assert lsa_leaks.leaks(df.limit(0), b).collect() == [] and lsa_leaks.leaks(df, b.limit(0)).collect() == []
 
 
+def test_leaks_of_a_benchmark_in_blocks(spark, monkeypatch):
+    """A benchmark of more than MOST_ITEM_WORDS words is searched in blocks, an item that is longer than that included."""
+    monkeypatch.setattr(lsa_leaks, "MOST_ITEM_WORDS", 100, raising=True)
+    rnd = random.Random(18)
+    vocab = [f"q{i}" for i in range(2000)]
+    text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [(i, f"{text(25)}. {text(8)}.") for i in range(14)] + [(14, f"{text(150)}. {text(8)}.")]
+    docs = [(d, " ".join([text(rnd.randint(0, 80)), *([items[d][1]] if d < 15 else []), text(20)])) for d in range(40)]
+    got = lsa_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(d, d) for d in range(15)]
+
+
 def test_common():
     item = {1: 0b0001, 2: 0b1010, 3: 0b0100}
     assert lsa_leaks.common(item, 4, [1, 2, 3, 2]) == 0b1111
