@@ -32,6 +32,7 @@ DAMPING = 1 / 8
 SMOOTH = 5.0
 MOST_LANGUAGES = 200
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
+_ASIDE = re.compile(r"<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 _LANG = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
 _META = re.compile(r"<meta\b[^>]*http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
@@ -43,7 +44,8 @@ def visible(page: str) -> str:
 
 
 def declared(page: str) -> str:
-    m = _LANG.search(page, 0, 20_000) or _META.search(page, 0, 20_000)  # markup's head, not text
+    page = _ASIDE.sub(" ", page)  # the tags may stand behind any length of these
+    m = _LANG.search(page) or _META.search(page)
     return m[1].lower() if m else ""
 
 

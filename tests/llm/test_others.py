@@ -146,6 +146,14 @@ def test_language_evidence_and_edges(spark, model):
     assert {(r.lang, r.confidence) for r in langid.identify(df, none).collect()} == {(None, 0.0)}
 
 
+@pytest.mark.parametrize("aside", ["<!-- {} -->", "<style>{}</style>", "<script>var page = '<html lang=\"de\">'; {}</script>"])
+def test_language_declared_behind_long_asides(aside):
+    long = aside.format("x " * 40_000)
+    assert langid.declared(f'{long}<html lang="fr"><p>text') == "fr"
+    assert langid.declared(f'<html><head>{long}<meta http-equiv="content-language" content="es"></head>') == "es"
+    assert langid.declared(f'{long}<p>text') == ""
+
+
 # archives
 
 
