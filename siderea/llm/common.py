@@ -18,33 +18,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession) -> SparkSession:
+def tune(spark: SparkSession, batch_bytes: int = 4 << 20) -> SparkSession:
     """Small Arrow batches, as one text may be megabytes long and a Python worker has a few hundred megabytes."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "5000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "5000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))):
         spark.conf.set(key, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset a local session gets a temporary one;
+    a cluster has no such folder, so there it is an error."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siderea-")
-        sc.setCheckpointDir(base)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siderea-"))
         base = sc.getCheckpointDir()
     return base
 
 
-def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: this cuts lineage, and a lost executor costs no recomputation.
 
-    The path is new on each call; a file system that lists lazily never sees an older table.
+    The path is new on each call; a file system that lists lazily never sees an older table. Nothing reads a success marker, so none is
+    written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

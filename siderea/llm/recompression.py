@@ -33,7 +33,7 @@ from siderea.llm.suffix_dedup import merged
 WINDOW = 35
 ROUNDS = 3
 FAR = 1 << 40
-CHUNK = 150_000  # words looked at at once
+CHUNK = 30_000  # words looked at at once
 _BREAKS = bytes.maketrans(SPACE, b" " * len(SPACE))
 
 _one, _two = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)

@@ -4,9 +4,10 @@ A finder cuts each document into pieces. A piece is a run of consecutive windows
 chosen from a window's content alone; so equal windows always have equal anchors at equal distance from their start, and
 only pieces of one anchor key need comparing, aligned at the anchor.
 
-1. scan: count anchor keys (summed before the shuffle) and set a bit for each key seen twice or more, in a bitmap of
-   fixed size. A key that the bitmap holds in error only costs a comparison.
-2. scan: pieces whose key has its bit. Equal pieces collapse in each task; the text of a piece is sent once per task.
+1. scan: count anchor keys (summed before the shuffle) and set a bit for each key seen twice or more, in a bitmap sized
+   by their number. A key that the bitmap holds in error only costs a comparison.
+2. scan: pieces whose key has its bit. Equal pieces collapse in each task; the text of a piece is sent once per task, and of
+   pieces that a task meets again only the windows they cover, merged where they touch.
 3. by key: a marker decides for each distinct piece which windows occur elsewhere. Keys with more than `hot` distinct
    pieces go by the digest of each window instead, which sums before it shuffles: no group is ever held whole.
 4. marks go back to the occurrences of their piece, and to documents as merged spans.
@@ -14,6 +15,7 @@ only pieces of one anchor key need comparing, aligned at the anchor.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,9 +27,10 @@ from xxhash import xxh3_128_digest
 from siderea.llm.common import row_key, save, tune
 
 U = np.uint64
-WORD_BITS = 21  # the bitmap has 2^21 words of 64 bits: 16 MB, whatever the corpus
-FLUSH_ROWS = 6000  # pieces compared at once
-PIECES = "key long, c1 long, c2 long, n long, off int, nw int, body binary, k1 long, k2 long, start long"
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 20, 29  # of the bitmap; the last two are powers of two: 128 kB to 64 MB
+HELD_BYTES = 6 << 20  # of bodies that a task holds to send equal ones once
+FLUSH_ROWS = 4000  # pieces compared at once
+PIECES = "key long, c1 long, c2 long, n long, off int, nw int, body binary, k1 long, k2 long, start long, stop long"
 MARKS = "key long, c1 long, c2 long, runs array<int>, off int, nw int, n long, body binary"
 
 
@@ -63,15 +66,20 @@ class Powers:
 
 
 def in_bitmap(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    key = key.view(U)
-    return (bits[(key & U((1 << WORD_BITS) - 1)).astype(np.int64)] >> ((key >> U(WORD_BITS)) & U(63))) & U(1) == 1
+    key, low = key.view(U), len(bits).bit_length() - 1
+    return (bits[(key & U(len(bits) - 1)).astype(np.int64)] >> ((key >> U(low)) & U(63))) & U(1) == 1
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """keys (key, n): a bit for each key whose n sum to 2 or more. At most 2^21 rows come to the driver, for any input."""
-    twice = keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 2")
-    words = twice.groupBy(F.expr(f"key & {(1 << WORD_BITS) - 1}L").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {WORD_BITS}) & 63L as int)))").alias("b"))
-    out = np.zeros(1 << WORD_BITS, U)
+    """keys (key, n): a bit for each key whose n sum to 2 or more.
+
+    BITS_A_KEY bits for each such key, between LEAST_BITS and MOST_BITS in all (a power of two); so at most 2^MOST_BITS bits come to the
+    driver and go to each task. Beyond that more keys share a bit, which costs comparisons of pieces that occur once, never results.
+    """
+    twice = save(keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 2").select("key"), "keys-twice")
+    low = min(MOST_BITS, max(LEAST_BITS, (BITS_A_KEY * twice.count()).bit_length())) - 6
+    words = twice.groupBy(F.expr(f"key & {(1 << low) - 1}L").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {low}) & 63L as int)))").alias("b"))
+    out = np.zeros(1 << low, U)
     got = words.toArrow()
     if got.num_rows:
         out[got["w"].to_numpy()] = got["b"].to_numpy().view(U)
@@ -98,50 +106,79 @@ def count_keys(find: Finder) -> Callable:
     return run
 
 
-def cut_pieces(find: Finder, bits) -> Callable:
-    """Occurrence rows (k1, k2, start of a piece), and, for each piece in a task, a row with its body and how often it came."""
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+class Held:
+    """Distinct pieces of a task that wait to be sent: columns of numbers and one buffer of bodies."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list] = {}
-        held = 0
+    def __init__(self):
+        self.slot: dict[bytes, int] = {}
+        self.key, self.n, self.off, self.nw, self.end, self.bodies = array("q"), array("q"), array("i"), array("i"), array("i", [0]), bytearray()
+
+    def add(self, digest: bytes, key: int, off: int, nw: int, body: bytes) -> bool:
+        """Whether the piece was there already."""
+        at = self.slot.setdefault(digest, len(self.n))
+        if at < len(self.n):
+            self.n[at] += 1
+            return True
+        self.key.append(key)
+        self.n.append(1)
+        self.off.append(off)
+        self.nw.append(nw)
+        self.bodies += body
+        self.end.append(len(self.bodies))
+        return False
+
+    def batch(self) -> pa.RecordBatch:
+        cs = np.frombuffer(b"".join(self.slot), "<i8").reshape(-1, 2)
+        body = pa.Array.from_buffers(pa.binary(), len(self.n), [None, pa.py_buffer(self.end.tobytes()), pa.py_buffer(bytes(self.bodies))])
+        cols = (np.array(self.key), cs[:, 0], cs[:, 1], np.array(self.n), np.array(self.off), np.array(self.nw), body, None, None, None, None)
+        return _piece_rows(cols, len(self.n))
+
+
+_NAMES = [x.split()[0] for x in PIECES.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
-        def rows(cols: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
 
-        def bodies() -> Iterator[pa.RecordBatch]:
-            at = list(seen)
-            for i in range(0, len(at), 5000):
-                part = at[i : i + 5000]
-                cs = np.frombuffer(b"".join(part), "<i8").reshape(-1, 2)
-                got = list(zip(*(seen[x] for x in part), strict=True))
-                none = [None] * len(part)
-                yield rows([got[0], cs[:, 0], cs[:, 1], got[1], got[2], got[3], got[4], none, none, none])
+def _piece_rows(cols, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(n, k) if x is None else pa.array(x, k) for x, k in zip(cols, _KINDS, strict=True)], _NAMES)
 
+
+def touching(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans, in order of row and start, with those that touch or overlap made one."""
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1])])
+    return row[first], start[first], np.maximum.reduceat(stop, first)
+
+
+def cut_pieces(find: Finder, bits) -> Callable:
+    """Rows of three kinds. Occurrences: k1, k2, start of a piece c1, c2. Pieces: for each distinct one in a task its body and how often it
+    came. Spans: windows from start to stop (exclusive) of a document that are known to occur elsewhere, as the task has seen their
+    piece before; touching ones are one row, so that a text of one repeated byte or word is a row for each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
             for row, start, nw, off, key, body in find(_texts(b)):
                 take = np.flatnonzero(in_bitmap(bits.value, key))
-                if not len(take):
-                    continue
-                digests = []
-                for i, k, o, w in zip(take.tolist(), key[take].tolist(), off[take].tolist(), nw[take].tolist(), strict=True):
-                    d = xxh3_128_digest(text := body(i))
-                    digests.append(d)
-                    if (was := seen.get(d)) is None:
-                        seen[d] = [k, 1, o, w, text]
-                        held += len(text) + 200
-                    else:
-                        was[1] += 1
-                cs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                none = [None] * len(take)
-                yield rows([none, cs[:, 0], cs[:, 1], none, none, none, none, k1[row[take]], k2[row[take]], start[take]])
-                if held > 48 << 20:
-                    yield from bodies()
-                    seen.clear()
-                    held = 0
-        yield from bodies()
+                for at in range(0, len(take), 4096):
+                    some = take[at : at + 4096]
+                    digests, again = [], np.zeros(len(some), bool)
+                    for j, (i, k, o, w) in enumerate(zip(some.tolist(), key[some].tolist(), off[some].tolist(), nw[some].tolist(), strict=True)):
+                        text = body(i)
+                        digests.append(d := xxh3_128_digest(text))
+                        again[j] = held.add(d, k, o, w, text)
+                    cs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    new = some[~again]
+                    if len(new):
+                        yield _piece_rows((None, cs[~again, 0], cs[~again, 1], None, None, None, None, k1[row[new]], k2[row[new]], start[new], None), len(new))
+                    if len(new) < len(some):
+                        seen = some[again]
+                        r, s, e = touching(row[seen], start[seen], start[seen] + nw[seen])
+                        yield _piece_rows((None,) * 7 + (k1[r], k2[r], s, e), len(r))
+                    if len(held.bodies) > HELD_BYTES:
+                        yield held.batch()
+                        held = Held()
+        if held.slot:
+            yield held.batch()
 
     return run
 
@@ -233,16 +270,18 @@ def _mark_hot(rows: DataFrame, digest: Callable[[bytes], np.ndarray]) -> DataFra
 def repeated_spans(docs: DataFrame, find: Finder, mark: Marker, digest: Callable[[bytes], np.ndarray], window: int, hot: int = 65536) -> DataFrame:
     """(k1, k2, spans): for each document (doc_id, text) with a repeated window, the sorted runs of window starts as
     array<struct<s, e>>, e exclusive; they may overlap or touch. k1, k2 are row_key("doc_id", "text")."""
-    spark = tune(docs.sparkSession)
+    spark = tune(docs.sparkSession, 1 << 20)
     keyed = docs.select("text", *row_key("doc_id", "text"))
     bits = spark.sparkContext.broadcast(bitmap(keyed.select("text").mapInArrow(count_keys(find), "key long, n long")))
     pieces = save(keyed.mapInArrow(cut_pieces(find, bits), PIECES), "pieces")
+    bits.destroy()
     bodies = pieces.filter("body is not null").select("key", "c1", "c2", "n", "off", "nw", "body")
     marks = save(bodies.repartition("key").sortWithinPartitions("key", "c1", "c2").mapInArrow(mark_groups(mark, hot), MARKS), "marks")
     found = marks.filter("runs is not null").select("c1", "c2", "runs")
     over = marks.filter("body is not null")
     if not over.isEmpty():
         found = found.unionByName(_mark_hot(over, digest))
-    spots = pieces.filter("start is not null").select("c1", "c2", "k1", "k2", "start").join(found, ["c1", "c2"])
+    spots = pieces.filter("c1 is not null and start is not null").select("c1", "c2", "k1", "k2", "start").join(found, ["c1", "c2"])
     spans = F.expr("transform(sequence(0, size(runs) div 2 - 1), i -> struct(start + runs[2 * i] as s, start + runs[2 * i + 1] as e))")
-    return spots.select("k1", "k2", F.explode(spans).alias("x")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+    known = pieces.filter("stop is not null").select("k1", "k2", F.struct(F.col("start").alias("s"), F.col("stop").alias("e")).alias("x"))
+    return spots.select("k1", "k2", F.explode(spans).alias("x")).union(known).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("x")).alias("spans"))

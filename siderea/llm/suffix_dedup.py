@@ -33,7 +33,7 @@ from siderea.llm.repeats import Powers, U, mix, repeated_spans
 
 WINDOW = 200
 ANCHOR = 48
-CHUNK = 1 << 20  # bytes looked at at once; longer texts are cut, with overlap
+CHUNK = 1 << 18  # bytes looked at at once; longer texts are cut, with overlap
 POS = 21
 
 _powers = Powers(0x9E3779B97F4A7C15)

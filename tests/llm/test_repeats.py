@@ -3,10 +3,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from siderea.llm import recompression, suffix_dedup
+from siderea.llm import recompression, repeats, suffix_dedup
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
 
@@ -92,3 +94,19 @@ def test_edges(spark, op):
     t = " ".join(f"w{i}" for i in range(100))
     got = run(spark.createDataFrame([(None, t), (None, t), (5, None), (5, "x")], SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.n_removed > 0) for r in got) == [(0, True), (0, True), (5, False), (5, False)]
+
+
+def test_a_text_of_one_byte_or_word_is_few_rows(spark):
+    """Pieces that a task meets again are merged before they leave it; all of the text goes, as by brute force."""
+    class Sent:
+        value = np.full(1 << 14, -1, np.int64).view(np.uint64)
+
+    for find, text, windows in ((suffix_dedup.finder(), "a" * 1_000_000, 999_801), (recompression.finder(), "w " * 500_000, 499_966), (suffix_dedup.finder(), "abc" * 300_000, 899_801)):
+        batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1]), pa.array([2])], ["text", "k1", "k2"])
+        rows = pa.Table.from_batches(repeats.cut_pieces(find, Sent)(iter([batch]))).to_pylist()
+        assert len(rows) < 400
+        seen = sorted((r["start"], r["stop"]) for r in rows if r["stop"] is not None)
+        assert sum(e - s for s, e in seen) + sum(r["nw"] for r in rows if r["body"]) == windows
+    df = spark.createDataFrame([(1, "a" * 5_000_000), (2, "b")], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(suffix_dedup.repeated_bytes(df)).collect()}
+    assert got == {1: (5_000_000, 5_000_000, 1), 2: (1, 0, 0)}
