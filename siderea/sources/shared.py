@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name under spark.checkpoint.dir; where that is unset (local runs) under a temporary one."""
+    """A new folder's name under spark.checkpoint.dir; where that is unset a local session gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siderea-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
