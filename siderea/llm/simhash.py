@@ -43,11 +43,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = np.r_[0, ends[:-1]].tolist()
     n = max(1, len(words) - shingle + 1)
     stops = (ends - 1)[-n:].tolist() if len(words) >= shingle else [len(line)]
-    h = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
+    return majority(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

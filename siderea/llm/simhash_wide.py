@@ -1,16 +1,21 @@
-"""Near-duplicate groups at a lower similarity: exact Jaccard of five-word shingles, found by shared prefixes.
+"""Near-duplicate groups at a lower similarity: exact Jaccard of five-word shingles.
 
 Two documents are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are the connected
-components of the links. (Of a SimHash's bits such pairs differ in 15 % or, if short, in more, so no bound on bits tells them apart.)
-Sets are kept in one order, shingles that are common in a sample of documents last; the order changes the work, never the result.
-Linked sets of sizes x and y share ceil(4 (x + y) / 9) shingles, so their first one fifth (and one more) have a shingle in common:
-each set is posted under those, and a list holds the sets posted under one shingle. Sizes and places rule out pairs that can't
-reach the similarity; no other pair is left out. Lists of up to ALL give all their pairs, which are verified by their sets. Longer ones get
-the sets, and one task joins what it has verified, so no unverified pair ever joins a group; lists of more than `hot` are dealt into blocks
-and every two blocks meet. One key in ROUND goes first: lists whose sets it has joined already are left alone by the others.
-
-Equal sets (all copies among them) are one node. Texts of fewer than five words are one shingle. Texts without words resemble
-nothing and are left out. Shingles are told apart by 48 bits of a hash.
+components of the links. Links come in two steps; each is verified by the sets themselves, so no unverified pair ever joins a group.
+
+1. SimHash fingerprints of the sets go through the positional byte index of siderea.llm.simhash. Its links and equal fingerprints are
+   proposals. This joins the nearest copies, large groups of them too, by one proposal for each.
+2. Of a SimHash's bits pairs at 0.8 differ in 15 % or, if short, in more, so no bound on bits finds them all. Step 2 does:
+   sets are kept in one order, shingles that are common in a sample of documents last; the order changes the work, never the result.
+   Linked sets of sizes x and y share ceil(4 (x + y) / 9) shingles, so their first one fifth (and one more) have a shingle in common:
+   each set is posted under those, and a list holds the sets posted under one shingle. Shingles that stand in one prefix only are left
+   out first, by a bitmap (siderea.llm.repeats). Sizes and places rule out pairs that can't reach the similarity, and lists whose sets
+   step 1 has joined are done; no other pair is left out. Lists of up to ALL give all their pairs. Longer ones get the sets, and one
+   task joins what it has verified; lists of more than `hot` are dealt into blocks and every two blocks meet.
+
+Equal sets (all copies among them) are one node. Texts of fewer than five words are one shingle. Null texts and texts without words
+resemble nothing and are left out. Rows that repeat a doc_id are told apart by k1, k2; null doc_ids are kept. Shingles are told apart by
+48 bits of a hash.
 """
 
 from __future__ import annotations
@@ -25,11 +30,12 @@ from xxhash import xxh64_intdigest
 
 from siderea.llm.common import SPACE, save, tune
 from siderea.llm.components import components
+from siderea.llm.repeats import bitmap, in_bitmap
+from siderea.llm.simhash import majority, similar
 
 SHINGLE = 5
 ALL = 8
 HOT = 1024
-ROUND = 16
 SAMPLE = 20_000  # documents whose shingles tell which are common
 COMMON = 5
 MOST_COMMON = 200_000
@@ -38,8 +44,8 @@ SEED = 42
 _BREAKS = bytes.maketrans(SPACE, b" " * len(SPACE))
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray | None:
-    """The sorted set, None without words."""
+def hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray | None:
+    """64-bit hashes of the shingles, None without words."""
     words = [w for w in text.lower().translate(_BREAKS).split(b" ") if w]
     if not words:
         return None
@@ -48,10 +54,19 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray | None:
     starts = np.r_[0, ends[:-1]].tolist()
     n = max(1, len(words) - shingle + 1)
     stops = (ends - 1)[-n:].tolist() if len(words) >= shingle else [len(line)]
-    h = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
+
+
+def set_of(h: np.ndarray) -> np.ndarray:
+    """Sorted, of 48 bits each."""
     return np.unique(h >> np.uint64(16)).astype(np.int64)
 
 
+def shingles(text: bytes) -> np.ndarray | None:
+    h = hashes(text)
+    return None if h is None else set_of(h)
+
+
 def packed(h: np.ndarray) -> bytes:
     """Six bytes for each shingle."""
     return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -100,24 +115,34 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, k1, k2, id (of the set), size and prefix of the documents (doc_id, text, k1, k2) that have words."""
+    """doc_id, k1, k2, id (of the set), fp (its fingerprint), size and prefix of the documents (doc_id, text, k1, k2) that have words."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
-            take = b.take(pa.array([i for i, h in enumerate(sets) if h is not None], pa.int64()))
-            sets = [h for h in sets if h is not None]
+            hs = [hashes(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
+            take = b.take(pa.array([i for i, h in enumerate(hs) if h is not None], pa.int64()))
+            hs = [np.unique(h) for h in hs if h is not None]
+            fps = np.array([majority(h) for h in hs], np.uint64).view(np.int64)
+            sets = [set_of(h) for h in hs]
             ids = np.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(ids), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(prefix(h, *sent.value)) for h in sets], pa.binary())], ["doc_id", "k1", "k2", "id", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(ids), pa.array(fps), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(prefix(h, *sent.value)) for h in sets], pa.binary())], ["doc_id", "k1", "k2", "id", "fp", "size", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, id long, size long, prefix binary")
+    out = save(docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, id long, fp long, size long, prefix binary"), "prints")
+    sent.destroy()
+    return out
 
 
-def posts(nodes: DataFrame, first: bool) -> DataFrame:
-    """A row (key, id, place, label) for each shingle of a prefix (id, size, prefix, label), of the first round's keys or the others; place
-    holds size and position. Label is 0 where it is the id: longs of zeros cost a shuffle little."""
+def prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key, n = np.unique(np.concatenate([*(unpacked(x) for x in b.column("prefix").to_pylist()), np.zeros(0, np.int64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+
+def posts(nodes: DataFrame, bits) -> DataFrame:
+    """A row (key, id, place, label) for each shingle of a prefix (id, size, prefix, label) that has its bit; place holds size and position.
+    Label is 0 where it is the id: longs of zeros cost a shuffle little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +150,7 @@ def posts(nodes: DataFrame, first: bool) -> DataFrame:
             n = np.array([len(k) for k in keys], np.int64)
             key = np.concatenate([*keys, np.zeros(0, np.int64)])
             pos = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
-            ok = (key % ROUND == 0) == first
+            ok = in_bitmap(bits.value, key)
             ids, size, label = (np.repeat(b.column(c).to_numpy(), n)[ok] for c in ("id", "size", "label"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[ok], ids, size << 32 | pos[ok], label)], ["key", "id", "place", "label"])
 
@@ -240,10 +265,9 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def sets_of(docs: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, h): the set of each of ids, from the text of one document that has it."""
-    one = prints.join(few(save(ids.distinct(), "ids")), "id", "left_semi").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
-    one = few(save(one, "wanted"))
+    wanted = few(save(nodes.select("id", "k1", "k2").join(ids.distinct(), "id"), "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,32 +275,53 @@ def sets_of(docs: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h, pa.binary())], ["id", "h"])
 
     # copies that share an id and text share k1 and k2
-    found = docs.select("k1", "k2", "text").join(one, ["k1", "k2"]).select("id", "text").dropDuplicates(["id"])
+    found = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("id", "text").dropDuplicates(["id"])
     return save(found.mapInArrow(run, "id long, h binary"), "sets")
 
 
-def links_of(docs: DataFrame, prints: DataFrame, nodes: DataFrame, first: bool, hot: int) -> DataFrame:
-    """Verified links (a, b) of one round."""
-    lists = posts(nodes, first).repartition("key").sortWithinPartitions("key").mapInArrow(meet(hot), "a long, b long, key long, label long")
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    sides = [sets.select(F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
+
+
+def proposals(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (id, fp) by the positional byte index: each node with the least of its fingerprint, and the fingerprints'
+    links between their least nodes."""
+    first = nodes.groupBy("fp").agg(F.min("id").alias("least"))
+    same = nodes.join(first, "fp").filter(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    left, right = (first.select(F.col("fp").alias(f"f{x}"), F.col("least").alias(x)) for x in ("a", "b"))
+    links = similar(first.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    return save(same.union(links.join(left, "fa").join(right, "fb").select("a", "b")).distinct(), "proposals")
+
+
+def links_of(docs: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
+    """Verified links (a, b) by shared prefixes between nodes (id, k1, k2, size, prefix, label) of different labels."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select("prefix").mapInArrow(prefix_keys, "key long, n long")))
+    lists = posts(nodes, bits).repartition("key").sortWithinPartitions("key").mapInArrow(meet(hot), "a long, b long, key long, label long")
     found = save(lists, "prefix-lists")
+    bits.destroy()
     pairs = save(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    long = found.filter("key is not null").select("key", F.col("a").alias("id"), "label").distinct()
-    long = save(long, "long-lists")
-    sets = sets_of(docs, prints, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(long.select("id")))
-    sides = [sets.select(F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b")]
-    links = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
+    long = save(found.filter("key is not null").select("key", F.col("a").alias("id"), "label").distinct(), "long-lists")
+    sets = sets_of(docs, nodes, both_sides(pairs).union(long.select("id")))
     by_list = long.join(sets, "id").select("key", "id", "label", "h").repartition("key").sortWithinPartitions("key").mapInArrow(join_lists, "a long, b long")
-    return save(links.union(by_list), "verified")
+    return alike(pairs, sets).union(by_list)
 
 
 def groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, k2, component) for the documents (doc_id, text, k1, k2) that have words; component is the same for all of a group."""
     tune(docs.sparkSession)
-    prints = save(prints_of(docs, common_shingles(docs)), "prints")
-    nodes = save(prints.groupBy("id").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    links = links_of(docs, prints, nodes.withColumn("label", F.lit(0).cast("long")), True, hot)
-    so_far = few(save(components(links).select(F.col("node").alias("id"), "root"), "so-far"))
+    prints = prints_of(docs, common_shingles(docs))
+    one = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]  # the same for all of a set
+    nodes = save(prints.groupBy("id").agg(*one, F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2", "fp", "size", "prefix"), "nodes")
+    near = proposals(nodes.select("id", "fp"))
+    links = save(alike(near, sets_of(docs, nodes, both_sides(near))), "verified")
+    so_far = few(components(links).select(F.col("node").alias("id"), "root"))
     labelled = nodes.join(so_far, "id", "left").withColumn("label", F.coalesce("root", F.lit(0).cast("long")))
-    links = links.union(links_of(docs, prints, labelled, False, hot))
+    links = links.union(save(links_of(docs, labelled, hot), "verified"))
     named = components(links).select(F.col("node").alias("id"), "root")
     return prints.join(named, "id", "left").select("doc_id", "k1", "k2", F.coalesce("root", "id").alias("component"))

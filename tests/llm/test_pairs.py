@@ -92,7 +92,7 @@ def test_groups_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 2), (0, 2), (2, 2), (3, 3), (3, 3)]
 
 
-@pytest.mark.parametrize("few", [100_000, 3])
+@pytest.mark.parametrize("few", [100_000, 40])
 def test_components(spark, few):
     rnd = random.Random(1)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, j) for j in range(2001, 2200)]
@@ -125,7 +125,7 @@ def test_wide_groups_recall(spark):
         near = [g for g, j in enumerate(truth) if j >= 0.8]
         assert len(near) > 60
         met = sum(comp[2 * g] == comp[2 * g + 1] for g in near)
-        assert met >= (0.9 if hot > 1 else 0.85) * len(near)
+        assert met == len(near)
         assert len({comp[2 * g] for g in range(150)}) == 150
         assert 9001 not in comp and 9002 not in comp
 
