@@ -30,23 +30,75 @@ from siderea.llm.common import read_table, save, tune
 BUCKET_BITS = 15
 DAMPING = 1 / 8
 SMOOTH = 5.0
-MOST_LANGUAGES = 200
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
-_ASIDE = re.compile(r"<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
-_META = re.compile(r"<meta\b[^>]*http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+_COMMENT = "<!--"
+_HIDING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_OPENING = re.compile(r"<(?:html|meta)\b", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![a-z:-])([a-z:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_CODE = re.compile(r"[A-Za-z]{2,3}\b")
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def shown(page: str, noscript: bool) -> str:
+    """page without comments, scripts, styles, templates and, unless noscript, noscript elements; what isn't closed stays. One pass: each
+    kind of end is looked for until it isn't found once, and never again."""
+    parts, at, ended = [], 0, set()
+    lower = None
+    for m in _HIDING.finditer(page):
+        if m.start() < at:
+            continue
+        kind = (m[1] or _COMMENT).lower()
+        if kind in ended or (noscript and kind == "noscript"):
+            continue
+        if kind == _COMMENT:
+            end = page.find("-->", m.end())
+            after = end + 3
+        else:
+            lower = _lowered(page) if lower is None else lower
+            end = lower.find(f"</{kind}", m.end())
+            after = lower.find(">", end) + 1 if end >= 0 else 0
+            end = end if after else -1
+        if end < 0:
+            ended.add(kind)
+            continue
+        parts.append(page[at : m.start()])
+        at = after
+    return " ".join([*parts, page[at:]])
+
+
+def _lowered(page: str) -> str:
+    """A-Z as a-z, all else as it is, so that places stay."""
+    return page.translate(_LOWER)
+
+
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def visible(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """Without tags; a "<" that nothing closes is text."""
+    page, parts, at = shown(page, False), [], 0
+    while (start := page.find("<", at)) >= 0 and (end := page.find(">", start)) >= 0:
+        parts.append(page[at:start])
+        at = end + 1
+    return html.unescape(" ".join([*parts, page[at:]]))
 
 
 def declared(page: str) -> str:
-    page = _ASIDE.sub(" ", page)  # the tags may stand behind any length of these
-    m = _LANG.search(page) or _META.search(page)
-    return m[1].lower() if m else ""
+    """The language of the html element, else of a content-language meta; they may stand behind any length of comments and scripts."""
+    page, meta, end = shown(page, True), "", -1
+    for m in _OPENING.finditer(page):
+        if m.start() < end:
+            continue
+        end = page.find(">", m.end())
+        if end < 0:
+            break
+        found = {a[0].lower(): (a[1] or a[2] or a[3]).strip() for a in _ATTRIBUTE.findall(page, m.end(), end)}
+        if m[0].lower() == "<html":
+            code = _CODE.match(found.get("lang", "")) or _CODE.match(found.get("xml:lang", ""))
+            if code:
+                return code[0].lower()
+        elif not meta and found.get("http-equiv", "").lower() == "content-language" and (code := _CODE.match(found.get("content", ""))):
+            meta = code[0].lower()
+    return meta
 
 
 def address(url: str) -> tuple[str, str, str]:
@@ -84,18 +136,23 @@ def train(docs: DataFrame) -> Trigrams:
     """docs (lang, text). At most 2 ** BUCKET_BITS rows for each language come to the driver."""
     tune(docs.sparkSession)
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
-    languages = sorted(r.lang for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())  # names of languages, not data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
-        at = {x: i for i, x in enumerate(languages)}
+        at, counts = {x: i for i, x in enumerate(languages)}, {}  # a row of counts for each language a task meets, 64 at most at once
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, c in counts.items():
+                bucket = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), k)), pa.array(bucket), pa.array(c[bucket])], ["l", "b", "n"])
+            counts.clear()
+
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts[at[lang]] += np.bincount(trigrams(text), minlength=1 << BUCKET_BITS)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], ["l", "b", "n"])
+                if at[lang] not in counts and len(counts) == 64:
+                    yield from told()
+                counts[at[lang]] = counts.get(at[lang], 0) + np.bincount(trigrams(text), minlength=1 << BUCKET_BITS)
+        yield from told()
 
     got = known.mapInArrow(run, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
