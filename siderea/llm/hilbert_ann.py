@@ -86,6 +86,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, len(v)))
 
 
+def _even(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component is near one: a cosine's bits stay, and no product leaves its range."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -170,10 +175,10 @@ def compare(k: int):
     """Rows sorted by (curve, block, side): each block's vectors (side 0) against its queries (side 1), the k best ids of each."""
 
     def top(vectors: list[np.ndarray], ids: list[list[int]], names: list[tuple[int, int]], queries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        m = np.vstack(vectors)
+        m = _even(np.vstack(vectors))
         norm = np.sqrt((m * m).sum(axis=1))
         for i in range(0, len(queries), 512):
-            q = queries[i : i + 512]
+            q = _even(queries[i : i + 512])
             score = (q @ m.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * norm[None, :])
             least = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
             rows: list[tuple] = []
