@@ -2,9 +2,9 @@
 
 Each document sends one row per distinct line key (128-bit hash) with the positions of its lines. Rows are range-partitioned by
 hash, then document (largest first), so a very common line spreads over several partitions, and sorted in them likewise. A task
-streams its rows and holds those of two documents at most: the first document of a hash is the one that keeps its lines,
-and at the third the others are known to lose theirs. Only of the first and the last hash of a partition may more rows lie
-elsewhere: their undecided rows, of two documents each, are set aside and decided together.
+streams its rows: the first document of a hash is the one that keeps its lines, and at the third the others are known to lose
+theirs; until then rows of two documents wait, MOST_HELD at most. Rows beyond that, and those of the first and the last hash of a
+partition, of which more may lie elsewhere, are set aside undecided and decided together by a join.
 
 A document's decisions return as a zlib-compressed bitmap of the lines to keep (bit i % 8, from the lowest, of byte i // 8);
 text never travels with the lines.
@@ -28,6 +28,7 @@ from xxhash import xxh3_128_digest
 from siderea.llm.common import SPACE, read_table, row_key, save, tune
 
 LEAST = -(1 << 63)
+MOST_HELD = 1000  # rows that a task holds until it knows what becomes of them
 LINES = "h1 long, h2 long, doc long, k1 long, k2 long, n int, pos binary"
 
 
@@ -68,34 +69,47 @@ def decide(min_docs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, held, docs, first = None, [], [], True  # the current hash, undecided rows, their documents
+        now, held, docs, first, opened, told = None, [], [], True, True, False  # the current hash, rows that wait, their documents
 
-        def close(open_end: bool) -> None:
-            if (first or open_end) and held:
-                out.extend((*r, len(docs)) for r in held)
+        def set_aside() -> None:
+            out.extend((*x, len(docs)) for x in held)
+            held.clear()
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            return zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True)
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
-                h = r[:2]
-                if h != now:
+            for r in rows(b):
+                if r[:2] != now:
                     if now is not None:
-                        close(False)
+                        if opened:
+                            set_aside()
                         first = False
-                    now, held, docs = h, [], []
+                    now, docs, opened, told = r[:2], [], first, False
+                    held.clear()
                 if not docs or docs[-1] != r[2]:
                     if len(docs) < min_docs:
                         docs.append(r[2])
                     if len(docs) == min_docs:  # all but the first document's rows are decided
                         out.extend((*x, None) for x in held if x[2] != docs[0])
-                        held = [x for x in held if x[2] == docs[0]]
+                        held[:] = [x for x in held if x[2] == docs[0]]
                 if len(docs) == min_docs and r[2] != docs[0]:
-                    out.append((*r, None))
+                    # of a hash with rows set aside one tells that there are enough documents
+                    out.append((*r, min_docs if opened and not told else None))
+                    told = told or opened
                     docs[-1] = r[2]
-                else:
-                    held.append(r)
+                elif first or r[2] != docs[0] or not held:  # of the document that keeps its lines one row is enough
+                    if first or r[2] != docs[0] or not opened:
+                        held.append(r)
+                    if len(held) > MOST_HELD:
+                        opened = True
+                        set_aside()
+                if len(out) > 20_000:
+                    yield _rows(out, [*_KINDS, pa.int32()], [*_NAMES, "seen"])
+                    out.clear()
             yield _rows(out, [*_KINDS, pa.int32()], [*_NAMES, "seen"])
             out.clear()
-        close(True)
+        set_aside()
         yield _rows(out, [*_KINDS, pa.int32()], [*_NAMES, "seen"])
 
     return run
