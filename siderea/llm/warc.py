@@ -1,7 +1,7 @@
 """Deterministic sharded writer of WARC archives, and a reader that trusts nothing but the manifest.
 
-Records are range-sorted by address and id. The bounds of the ranges are quantiles of a sample chosen by hash, so they depend
-on the rows alone, never on how they were dealt out; each range is a shard, written by one task in order, which starts a new file
+Records are range-sorted by address and id. The bounds of the ranges are quantiles, by bytes, of a sample chosen by hash, so they depend
+on the rows alone, never on how they were dealt out; there are MOST_SHARDS ranges at most. Each range is a shard, written by one task in order, which starts a new file
 when the compressed size passes `roll_bytes`. Headers and digests are made anew, dates are a parameter and record ids are
 digests: the same rows give the same bytes. A file is written under a temporary name and moved when complete; a task that is
 tried again replaces it by the same bytes. The manifest, written last by Spark's own committer, names the files with their sizes
@@ -35,6 +35,7 @@ from siderea.llm.common import read_table, save, shared_dir, tune
 
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 32 << 20
+MOST_SHARDS = 10_000  # larger archives have larger shards: the driver draws the bounds from some 32 rows a shard
 LEAST_REVISIT = 1000
 MOST_BROADCAST = 100_000  # rows of 48 bytes
 DATE = "2024-01-01T00:00:00Z"
@@ -125,12 +126,17 @@ MANIFEST = "shard int, number int, file string, records long, bytes long, sha256
 
 
 def _bounds(keyed: DataFrame, shards: int, rows: int) -> list[tuple[str, int]]:
-    """Quantiles of about 64 rows for each shard, chosen by hash."""
+    """Quantiles, by bytes, of about 32 rows for each shard, chosen by hash."""
     if shards < 2:
         return []
-    every = max(1, rows // (64 * shards))
-    sample = sorted((r.u, r.p) for r in keyed.filter(F.pmod(F.xxhash64("u", "p"), F.lit(every)) == 0).select("u", "p").collect())
-    return [sample[len(sample) * i // shards] for i in range(1, shards)] if sample else []
+    every = max(1, rows // (32 * shards))
+    sample = sorted((r.u, r.p, r.b) for r in keyed.filter(F.pmod(F.xxhash64("u", "p"), F.lit(every)) == 0).select("u", "p", "b").collect())
+    whole, sums, out = sum(b for *_, b in sample), 0, []
+    for u, p, b in sample:
+        while len(out) < shards - 1 and sums >= whole * (len(out) + 1) / shards > 0:
+            out.append((u, p))
+        sums += b
+    return out
 
 
 def roles(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
@@ -153,7 +159,7 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
     fs.create_dir(at, recursive=True)
     keyed = pages.select(F.coalesce("url", F.lit("")).alias("u"), F.coalesce("page_id", F.lit(LEAST)).alias("p"), F.length(F.coalesce("html", F.lit("")).cast("binary")).alias("b"))
     whole = keyed.agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()[0]
-    shards = max(1, -(-(whole.b or 0) // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-(whole.b or 0) // shard_bytes)))
     bounds = _bounds(keyed, shards, whole.n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
