@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -25,6 +26,24 @@ def test_targets():
     assert cube_mixing.targets({"a": 0}) == {"a": 0.0} and cube_mixing.targets({}) == {}
 
 
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    """The level at which all words are dealt out, found by halving: each source gets its weight times the level, most times its size at most."""
+    order = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    lo, hi = 0.0, float(most * sum(sizes.values()) + 1)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * sizes[s], weight[s] * mid) for s in sizes) < sum(sizes.values()) else (lo, mid)
+    return {s: min(most * sizes[s], weight[s] * hi) for s in sizes}
+
+
+def test_targets_by_another_way():
+    rnd = random.Random(41)
+    for _ in range(200):
+        sizes = {rnd.choice([None, *"abcdefgéü"]): rnd.choice([0, 1, 7, 500, 10_000]) for _ in range(rnd.randint(1, 8))}
+        assert cube_mixing.targets(sizes) == pytest.approx(plain_targets(sizes), abs=1e-6)
+
+
 def test_flight_keeps_both_totals():
     rnd = random.Random(2)
     sizes, p = [rnd.randint(0, 500) for _ in range(400)], [rnd.random() for _ in range(400)]
@@ -52,7 +71,7 @@ def test_mix(spark, block):
         by[r.source][0] += r.size
         by[r.source][1] += r.taken
         by[r.source][2] = r.target
-    want = cube_mixing.targets({s: v[0] for s, v in by.items()})
+    want = plain_targets({s: v[0] for s, v in by.items()})
     for s, (size, taken, target) in by.items():
         assert target == pytest.approx(want[s]) and abs(taken - target) <= 61 and size
     again = mixed(spark, docs[::-1], block=block).collect()
@@ -106,6 +125,12 @@ def test_nearest(spark):
     assert hilbert_ann.nearest(df.filter("vec_id = 50").limit(1), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_nearest_of_large_and_small_doubles(spark):
+    v = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1.0, 0.0]), (3, [1e-300, 3e-300]), (4, [-1e308, 1e308])]
+    got = {r.vec_id: r.score for r in hilbert_ann.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert got == pytest.approx({1: 3 / 10**0.5, 2: 0.5**0.5, 3: 4 / 20**0.5, 4: 0.0}, abs=1e-12)
+
+
 def test_recall_on_the_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
@@ -132,6 +157,73 @@ def test_language(spark, sf, model):
     assert np.mean([got[i].lang == t for i, t in truth.items()]) > 0.95
 
 
+def test_language_of_unseen_texts(spark, sf):
+    """Pages made of documents the model hasn't seen, without any markup or address that tells the language."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null and length(text) > 100")
+    m = langid.train(docs.filter("doc_id % 2 = 0"))
+    rest = docs.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"), F.col("lang").alias("truth"))
+    got = {r.page_id: r.lang for r in langid.identify(rest.drop("truth"), m).collect()}
+    assert np.mean([got[r.page_id] == r.truth for r in rest.collect()]) > 0.95
+
+
+def test_language_by_brute_force(spark):
+    """The definition, one page and one number at a time."""
+    texts = {"en": ["the cat and the dog", "that is the thing"], "fr": ["le chat et le chien", "que la chose"]}
+    pages = [(1, "http://x.a.fr/1", '<html lang="fr"><p>le chat noir</p>'), (2, "http://x.a.fr/2", "<p>the dog</p>"), (3, "http://y.a.fr", ""), (4, None, "<p>chose</p>"), (5, "http://b.com", "<html lang=en>the that")]
+    langs = sorted(texts)
+
+    def grams(t):
+        b = b" ".join(bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in f" {t} ".lower().encode()).split())
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 17 for i in range(len(b) - 2)]
+
+    count = {x: defaultdict(int) for x in langs}
+    for x in langs:
+        for t in texts[x]:
+            for g in grams(t):
+                count[x][g] += 1
+    total = {x: sum(count[x].values()) + 0.5 * 2**15 for x in langs}
+    rows = []
+    for i, url, h in pages:
+        s = np.array([sum(np.log((count[x][g] + 0.5) / total[x]) for g in grams(re.sub("<[^>]*>", " ", h))) / 8 for x in langs])
+        p = np.exp(s - s.max())
+        host = re.sub("^http://([^/]*).*", r"\1", url) if url else ""
+        said = re.search('lang="?(..)', h)
+        rows.append({"id": i, "post": p / p.sum(), "host": host, "domain": ".".join(host.split(".")[-2:]), "suffix": host.split(".")[-1], "declared": said[1] if said else ""})
+    want = {}
+    for r in rows:
+        others = [o for o in rows if o is not r]
+        rest = sum(o["post"] for o in others)
+        out = np.log(r["post"])
+        for k in ("declared", "suffix"):
+            s = sum((o["post"] for o in others if o[k] == r[k]), np.zeros(2))
+            out += np.log((s + 5 * (s.sum() + 1) / (rest.sum() + 1)) / (rest + 5))
+        prior = (rest + 1) / (rest.sum() + 2)
+        for k in ("domain", "host"):
+            s = sum((o["post"] for o in others if o[k] == r[k]), np.zeros(2))
+            prior = (s + 5 * prior) / (s.sum() + 5)
+        p = np.exp(out + np.log(prior))
+        want[r["id"]] = (langs[int(np.argmax(p))], float(p.max() / p.sum()))
+    m = langid.train(spark.createDataFrame([(x, t) for x in langs for t in texts[x]], "lang string, text string"))
+    got = {r.page_id: (r.lang, r.confidence) for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), m).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert [got[i][1] for i in sorted(got)] == pytest.approx([want[i][1] for i in sorted(want)], abs=1e-5)
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<html ", "<meta x=", "<", "a=", "<noscript>", "</script", "<html lang="])
+def test_language_of_unclosed_markup_in_one_pass(piece):
+    page = piece * (3_000_000 // len(piece))
+    began = time.time()
+    for p in (page, page + ">"):
+        langid.visible(p)
+        langid.declared(p)
+    assert time.time() - began < 60
+
+
+def test_markup():
+    assert langid.visible("a<!-- <p>x --> b<script>if (a<b) x</script > c <b>d</b> &amp; <NoScript>no</noscript>e<").split() == ["a", "b", "c", "d", "&", "e<"]
+    assert langid.declared("<noscript><html xml:lang='pt-BR'></noscript>") == "pt" and langid.declared("<html>x<meta content='it' HTTP-EQUIV=Content-Language>") == "it"
+
+
 def test_language_evidence_and_edges(spark, model):
     w = {"en": "the house and the thing with that", "fr": "les de la que pour dans avec une"}
     rows = [(i, "http://a.example.fr/x", f'<html lang="fr"><p>{w["fr"] * 5}</p><script>the the the</script>') for i in range(30)]
@@ -207,6 +299,36 @@ def test_quality(spark, sf):
     assert {r.doc_id: round(r.score, 9) for r in again}[rows[0].doc_id] == round(rows[0].score, 9)
 
 
+def test_quality_solver_against_gradient_steps():
+    """Dual coordinate descent reaches the objective that plain projected gradient steps on the dual reach."""
+    rnd = np.random.default_rng(6)
+    rows = [np.sort(rnd.choice(40, rnd.integers(3, 15), replace=False)) for _ in range(60)]
+    y = np.array([1.0 if (f < 20).mean() + rnd.normal() * 0.2 > 0.5 else -1.0 for f in rows])
+    p, q = np.ones(40), np.ones(40)
+    for f, label in zip(rows, y, strict=True):
+        for k in f:
+            if label > 0:
+                p[k] += 1
+            else:
+                q[k] += 1
+    full = nbsvm.ratios(rows, y)
+    size = len(full)
+    np.testing.assert_allclose(full[:40], np.log(p / (p.sum() + size - 40)) - np.log(q / (q.sum() + size - 40)))
+    x = np.zeros((60, 40))
+    for i, f in enumerate(rows):
+        x[i, f] = full[f] / np.linalg.norm(full[f])
+    cost = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+    objective = lambda w, b: (w @ w + b * b) / 2 + (cost * np.maximum(0, 1 - y * (x @ w + b))).sum()
+    k, a = np.outer(y, y) * (x @ x.T + 1), np.zeros(60)
+    for _ in range(20_000):
+        a = np.clip(a + (1 - k @ a) / np.linalg.norm(k, 2), 0, cost)
+    best = objective((a * y) @ x, (a * y).sum())
+    w, b = nbsvm.descend(rows, y, full, rounds=200)
+    assert objective(w[:40], b) <= best * 1.001
+    w, b = nbsvm.descend(rows, y, full)
+    assert objective(w[:40], b) <= best * 1.1
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "good text here"), (2, None), (3, ""), (None, "x"), (1, "again")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     lab = "doc_id long, quality int"
@@ -250,6 +372,50 @@ def test_leaks(spark):
     assert lsa_leaks.leaks(df.limit(0), b).collect() == [] and lsa_leaks.leaks(df, b.limit(0)).collect() == []
 
 
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_leaks_against_plain_subsequences(spark):
+    """Paraphrases (words changed, left out, put in) of more items than RANK, beside a brute-force search of all places."""
+    rnd = random.Random(28)
+    vocab = [f"t{i}" for i in range(1500)]
+    items = [[rnd.choice(vocab) for _ in range(rnd.randint(15, 30))] for _ in range(150)]
+    docs = []
+    for d in range(120):
+        w = list(items[d])
+        for _ in range(rnd.randint(0, 12)):
+            at = rnd.randrange(len(w))
+            w[at : at + 1] = rnd.choice([[rnd.choice(vocab)], [], [w[at], rnd.choice(vocab)]])
+            w = w or ["x"]
+        docs.append([*(rnd.choice(vocab) for _ in range(rnd.randint(0, 60))), *w, *(rnd.choice(vocab) for _ in range(rnd.randint(0, 60)))])
+    plain = {(d, k): max(plain_common(it, doc[at : at + len(it) + 16]) for at in range(0, len(doc), 4)) / len(it) for d, doc in enumerate(docs) for k, it in enumerate(items) if len(set(doc) & set(it)) >= 0.6 * len(set(it))}
+    b = spark.createDataFrame([(k, " ".join(it)) for k, it in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in lsa_leaks.leaks(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"), b).collect()}
+    sure = {x for x, share in plain.items() if share >= 0.8}
+    assert len(sure) > 40 and len(sure & set(got)) >= 0.95 * len(sure)
+    assert all(plain.get(x, 0) >= 0.6 for x in got)
+
+
+def test_leaks_of_short_items(spark):
+    """Fewer than five words: exact runs of long words, and nothing that is too short to tell."""
+    items = [(1, "東京都は日本の首都であり世界最大級の都市圏を形成している。"), (2, "the cat"), (3, "Pneumonoultramicroscopic silicovolcanoconiosis!"), (4, "yes")]
+    docs = [(10, "x 東京都は日本の首都であり世界最大級の都市圏を形成している 。 y"), (11, "yes the cat sat"), (12, "a pneumonoultramicroscopic, SILICOVOLCANOCONIOSIS b"), (13, "pneumonoultramicroscopic b silicovolcanoconiosis"), (14, None)]
+    got = lsa_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched, r.start) for r in got) == [(10, 1, 1.0, 1), (12, 3, 1.0, 1)]
+
+
+def test_sample_of_passages(spark):
+    rows = [(i, np.full(640, 3, "<i4").tobytes()) for i in range(2000)]
+    words = spark.createDataFrame(rows, "doc_id long, w binary")
+    assert abs(lsa_leaks.taken_passages(words, 1000).count() - 1000) < 150 and lsa_leaks.taken_passages(words, 10**9).count() == 20_000
+
+
 def test_leaks_of_a_benchmark_in_blocks(spark, monkeypatch):
     """A benchmark of more than MOST_ITEM_WORDS words is searched in blocks, an item that is longer than that included."""
     monkeypatch.setattr(lsa_leaks, "MOST_ITEM_WORDS", 100, raising=True)

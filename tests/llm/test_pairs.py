@@ -180,6 +180,51 @@ def test_lines_over_many_partitions(spark):
     assert got == plain_lines(docs)
 
 
+def test_lines_told_very_often(spark, monkeypatch):
+    """Rows that share an id and a line by the thousand: more than a task may hold, at every place of a partition."""
+    hot = "A line that very many rows of a document hold"
+    docs = [(i, f"{hot}\nrow {k} of its own and long enough") for i in (5, 7) for k in range(1500)] + [(9, hot)] * 1200 + [(3, hot), (2, hot + "\n" + "Another line of two documents"), (1, "Another line of two documents")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for n in ("1", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.without_repeated_lines(df).collect()], key=str)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        assert got == plain_lines(docs)
+
+
+def test_lines_are_decided_in_a_stream():
+    """One task, by hand: what is set aside and what is decided agrees with all rows together, whatever may be held."""
+    rnd = random.Random(3)
+    rows = sorted({(h, 0, rnd.randrange(4), k, 0, 1, b"") for h in range(6) for k in range(rnd.randint(1, 30))}, key=lambda r: (r[0], r[1], -r[2], r[3]))
+    for held in (1000, 2):
+        line_dedup.MOST_HELD = held
+        try:
+            for cuts in ([], [5], [20, 40], list(range(0, len(rows), 3))):
+                gone, aside = set(), []
+                for s, e in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                    b = line_dedup._rows(rows[s:e], line_dedup._KINDS, line_dedup._NAMES)
+                    for out in line_dedup.decide(3)(iter([b])):
+                        for r in out.to_pylist():
+                            key = (r["h1"], r["doc"], r["k1"])
+                            if r["seen"] is None:
+                                gone.add(key)
+                            else:
+                                aside.append((*key, r["seen"]))
+                for h, doc, k, _ in aside:
+                    same = [x for x in aside if x[0] == h]
+                    if max(max(x[3] for x in same), len({x[1] for x in same})) >= 3 and doc < max(x[1] for x in same):
+                        gone.add((h, doc, k))
+                docs = defaultdict(set)
+                for r in rows:
+                    docs[r[0]].add(r[2])
+                assert gone == {(r[0], r[2], r[3]) for r in rows if len(docs[r[0]]) >= 3 and r[2] < max(docs[r[0]])}
+        finally:
+            line_dedup.MOST_HELD = 1000
+
+
 def test_bitmap_and_edges(spark):
     keep = line_dedup.keep_bitmap(11, [np.array([0, 9], "<i4").tobytes(), np.array([9], "<i4").tobytes()])
     assert [i for i in range(11) if zlib.decompress(keep)[i // 8] >> i % 8 & 1] == [1, 2, 3, 4, 5, 6, 7, 8, 10]
