@@ -13,6 +13,9 @@ components of the links. Links come in two steps; each is verified by the sets t
    step 1 has joined are done; no other pair is left out. Lists of up to ALL give all their pairs. Longer ones get the sets, and one
    task joins what it has verified; lists of more than `hot` are dealt into blocks and every two blocks meet.
 
+Before sets travel, counts do: how many shingles of a set fall into each of some buckets, about three a bucket. Two sets share no more
+than the sum of the lesser counts, so pairs below the similarity by that bound go unseen, and members of a list without a partner.
+
 Equal sets (all copies among them) are one node. Texts of fewer than five words are one shingle. Null texts and texts without words
 resemble nothing and are left out. Rows that repeat a doc_id are told apart by k1, k2; null doc_ids are kept. Shingles are told apart by
 48 bits of a hash.
@@ -78,6 +81,26 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def counts(h: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2^k buckets, about three in each; by their lowest bits, so that counts can be folded."""
+    n = max(8, 1 << (-(-len(h) // 4) - 1).bit_length())
+    return np.minimum(np.bincount(h & (n - 1), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(c: np.ndarray) -> np.ndarray:
+    """Counts (in rows) of half as many buckets."""
+    half = c.shape[-1] // 2
+    return c[..., :half].astype(np.uint16) + c[..., half:]
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    while len(a) > len(b):
+        a = folded(a)
+    while len(b) > len(a):
+        b = folded(b)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def like(inter, x, y):
     """Jaccard similarity of at least 0.8, in whole numbers."""
     return 9 * inter >= 4 * (x + y)
@@ -115,7 +138,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, k1, k2, id (of the set), fp (its fingerprint), size and prefix of the documents (doc_id, text, k1, k2) that have words."""
+    """doc_id, k1, k2, id (of the set), fp (its fingerprint), size, prefix and counts of the documents (doc_id, text, k1, k2) that have words."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +149,10 @@ def prints_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
             fps = np.array([majority(h) for h in hs], np.uint64).view(np.int64)
             sets = [set_of(h) for h in hs]
             ids = np.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(ids), pa.array(fps), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(prefix(h, *sent.value)) for h in sets], pa.binary())], ["doc_id", "k1", "k2", "id", "fp", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("doc_id", "k1", "k2")), pa.array(ids), pa.array(fps), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(prefix(h, *sent.value)) for h in sets], pa.binary()), pa.array([counts(h) for h in sets], pa.binary())], ["doc_id", "k1", "k2", "id", "fp", "size", "prefix", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = save(docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, id long, fp long, size long, prefix binary"), "prints")
+    out = save(docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, id long, fp long, size long, prefix binary, counts binary"), "prints")
     sent.destroy()
     return out
 
@@ -242,14 +265,7 @@ def join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = joined(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [unpacked(r[3]) for r in rows])
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows: list[tuple] = []
-    for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("key", "id", "label", "h")), strict=True):
-            if rows and rows[-1][0] != r[0]:
-                yield out(rows)
-                rows = []
-            rows.append(r)
-    if rows:
+    for rows in by_key(batches, ("key", "id", "label", "h")):
         yield out(rows)
 
 
@@ -267,16 +283,79 @@ def few(df: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, h): the set of each of ids, from the text of one document that has it."""
-    wanted = few(save(nodes.select("id", "k1", "k2").join(ids.distinct(), "id"), "wanted"))
+    wanted = save(nodes.select("id", "k1", "k2").join(ids.distinct(), "id"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [packed(shingles(t)) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h, pa.binary())], ["id", "h"])
 
-    # copies that share an id and text share k1 and k2
-    found = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("id", "text").dropDuplicates(["id"])
-    return save(found.mapInArrow(run, "id long, h binary"), "sets")
+    found = docs.select("k1", "k2", "text").join(few(wanted), ["k1", "k2"]).select("id", "text")
+    sets = save(found.mapInArrow(run, "id long, h binary"), "sets")
+    # rows that repeat another's id and text share k1 and k2
+    return sets if sets.count() == wanted.count() else save(sets.dropDuplicates(["id"]), "sets")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be alike by their counts."""
+    sides = [nodes.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("counts").alias(f"c{x}")) for x in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(c, np.uint8) for c in b.column(k).to_pylist()] for k in ("ca", "cb"))
+            n = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)
+            ok = pa.array([bool(like(min(p, q), p, q) and like(most_shared(c, d), p, q)) for c, d, (p, q) in zip(x, y, n, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    pairs = few(pairs)
+    return save(sides[0].join(pairs, "a").join(sides[1], "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long"), "possible")
+
+
+def partnered(size: np.ndarray, label: np.ndarray, count: list[np.ndarray]) -> np.ndarray:
+    """Which members of a list can, by their counts, be alike to one of another label."""
+    out, buckets = np.zeros(len(size), bool), np.array([len(c) for c in count])
+    rows = {n: np.flatnonzero(buckets == n) for n in np.unique(buckets).tolist()}
+    whole = {n: np.stack([count[i] for i in at]) for n, at in rows.items()}
+    half = {n: folded(m) for n, m in whole.items()}
+    place = np.zeros(len(size), np.int64)
+    for at in rows.values():
+        place[at] = np.arange(len(at))
+    for i in range(len(size)):
+        n = int(buckets[i])
+        for at, theirs, own in ((rows.get(n), whole.get(n), count[i]), (rows.get(2 * n), half.get(2 * n), count[i]), (rows.get(n // 2), whole.get(n // 2), half[n][place[i]])):
+            if at is None:
+                continue
+            js = at[(label[at] != label[i]) & like(np.minimum(size[at], size[i]), size[at], size[i]) & ~(out[at] & out[i])]
+            if len(js):
+                hit = js[like(np.minimum(theirs[place[js]], own).sum(axis=1, dtype=np.int64), size[js], size[i])]
+                out[hit] = True
+                out[i] |= len(hit) > 0
+    return out
+
+
+def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, label, size, counts) sorted by key: those (key, id, label) that can have a partner in their list."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        key, ids, label, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        ok = partnered(size, label, [np.frombuffer(r[4], np.uint8) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, ids, label)], ["key", "id", "label"])
+
+    for rows in by_key(batches, ("key", "id", "label", "size", "counts")):
+        yield out(rows)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], cols: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows that share the first of cols, by which they are sorted."""
+    rows: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in cols), strict=True):
+            if rows and rows[-1][0] != r[0]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
 
 
 def both_sides(pairs: DataFrame) -> DataFrame:
@@ -290,23 +369,25 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def proposals(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (id, fp) by the positional byte index: each node with the least of its fingerprint, and the fingerprints'
+    """Pairs (a, b) of nodes (id, fp, size, counts) by the positional byte index: each node with the least of its fingerprint, and the fingerprints'
     links between their least nodes."""
     first = nodes.groupBy("fp").agg(F.min("id").alias("least"))
     same = nodes.join(first, "fp").filter(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b"))
     left, right = (first.select(F.col("fp").alias(f"f{x}"), F.col("least").alias(x)) for x in ("a", "b"))
     links = similar(first.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
-    return save(same.union(links.join(left, "fa").join(right, "fb").select("a", "b")).distinct(), "proposals")
+    return possible(save(same.union(links.join(left, "fa").join(right, "fb").select("a", "b")).distinct(), "proposals"), nodes)
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
-    """Verified links (a, b) by shared prefixes between nodes (id, k1, k2, size, prefix, label) of different labels."""
+    """Verified links (a, b) by shared prefixes between nodes (id, k1, k2, size, prefix, counts, label) of different labels."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select("prefix").mapInArrow(prefix_keys, "key long, n long")))
     lists = posts(nodes, bits).repartition("key").sortWithinPartitions("key").mapInArrow(meet(hot), "a long, b long, key long, label long")
     found = save(lists, "prefix-lists")
     bits.destroy()
-    pairs = save(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    long = save(found.filter("key is not null").select("key", F.col("a").alias("id"), "label").distinct(), "long-lists")
+    pairs = possible(save(found.filter("b is not null").select("a", "b").distinct(), "pairs"), nodes)
+    long = few(save(found.filter("key is not null").select("key", F.col("a").alias("id"), "label").distinct(), "long-lists"))
+    members = nodes.select("id", "size", "counts").join(long, "id").select("key", "id", "label", "size", "counts")
+    long = save(members.repartition("key").sortWithinPartitions("key").mapInArrow(with_partner, "key long, id long, label long"), "long-lists")
     sets = sets_of(docs, nodes, both_sides(pairs).union(long.select("id")))
     by_list = long.join(sets, "id").select("key", "id", "label", "h").repartition("key").sortWithinPartitions("key").mapInArrow(join_lists, "a long, b long")
     return alike(pairs, sets).union(by_list)
@@ -316,9 +397,9 @@ def groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, k2, component) for the documents (doc_id, text, k1, k2) that have words; component is the same for all of a group."""
     tune(docs.sparkSession)
     prints = prints_of(docs, common_shingles(docs))
-    one = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]  # the same for all of a set
-    nodes = save(prints.groupBy("id").agg(*one, F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2", "fp", "size", "prefix"), "nodes")
-    near = proposals(nodes.select("id", "fp"))
+    one = [F.first(c).alias(c) for c in ("fp", "size", "prefix", "counts")]  # the same for all of a set
+    nodes = save(prints.groupBy("id").agg(*one, F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2", "fp", "size", "prefix", "counts"), "nodes")
+    near = proposals(nodes)
     links = save(alike(near, sets_of(docs, nodes, both_sides(near))), "verified")
     so_far = few(components(links).select(F.col("node").alias("id"), "root"))
     labelled = nodes.join(so_far, "id", "left").withColumn("label", F.coalesce("root", F.lit(0).cast("long")))

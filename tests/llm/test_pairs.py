@@ -232,6 +232,18 @@ def test_bitmap_and_edges(spark):
     assert line_dedup.bitmaps(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_counts_bound_what_is_shared():
+    rnd = np.random.default_rng(2)
+    for _ in range(300):
+        x = np.unique(rnd.integers(0, 1 << 48, rnd.integers(1, 400)))
+        y = np.unique(np.r_[x[rnd.random(len(x)) < rnd.random()], rnd.integers(0, 1 << 48, rnd.integers(1, 60))])
+        shared = len(np.intersect1d(x, y))
+        a, b = (np.frombuffer(simhash_wide.counts(h), np.uint8) for h in (x, y))
+        assert shared <= simhash_wide.most_shared(a, b) <= min(len(x), len(y))
+        if simhash_wide.like(shared, len(x), len(y)):
+            assert simhash_wide.partnered(np.array([len(x), len(y)]), np.array([1, 2]), [a, b]).all()
+
+
 def exact_roots(texts):
     """Components by brute force over five-word shingles."""
     sets = []
