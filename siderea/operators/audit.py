@@ -70,15 +70,6 @@ def triage(baseline: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
     return j.filter("b <> c").select(key, F.when(F.col("c"), "extra_failed").otherwise("recovered").alias("change"))
 
 
-def recommendation(tail: Column, negative: Column, edge_fraction: Column) -> Column:
-    """What the tail of a comparison suggests; the order matters."""
-    return F.when(tail == 0, "no_tail").when(edge_fraction >= 0.5, "check_edges").when(negative >= 0.8 * tail, "too_low").when(negative <= 0.2 * tail, "too_high").otherwise("mixed")
-
-
-def resume_action(resident: Column, failed: Column, done: Column, expected: Column) -> Column:
-    return F.when(~resident, "not_resident_run").when(failed > 0, "restart_failed_stage").when(done == 0, "start").when(done < expected, "resume_next_stage").otherwise("noop_complete")
-
-
 def memory_plan(frames: Column, height: Column, width: Column, masters: Column, batch: Column) -> dict[str, Column]:
     """Bytes of float32 surfaces, and their peak."""
     one = (height * width * 4).cast("bigint")
@@ -87,9 +78,3 @@ def memory_plan(frames: Column, height: Column, width: Column, masters: Column,
     for p in parts.values():
         total = p if total is None else total + p
     return {**parts, "peak_bytes": total}
-
-
-def registration_quality(status: Column, inliers: Column, rms: Column, action: str, min_inliers: int, max_rms: float) -> Column:
-    """accepted, warned or excluded."""
-    ok = (status == "ok") & (inliers >= min_inliers) & (rms <= max_rms)
-    return F.when(F.coalesce(ok, F.lit(False)) | F.lit(action == "off"), "accepted").otherwise("excluded" if action == "exclude" else "warned")

@@ -29,7 +29,7 @@ def conflicts() -> Column:
 
 
 def final_status() -> Column:
-    """Eight outcomes; the order matters."""
+    """Eight outcomes, whose names and order are fixed values."""
     q, r, w, n, i = (F.col(s) for s in STAGES)
     return (
         F.when((i == "used") & (F.size(conflicts()) > 0), "integration_conflict").when(i == "used", "integrated")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siderea.model import QualityGate
 
 
+# The constants of this product.
 def combined_weight(star_count: Column, snr: Column, fwhm: Column, ecc: Column, rms: Column, saturation: Column) -> Column:
     width = F.greatest(F.when(fwhm.isNull() | (fwhm == 0), 3.0).otherwise(fwhm), F.lit(0.75))
     return (

@@ -134,63 +134,146 @@ def greedy_pairs(ref: np.ndarray, mov: np.ndarray, tolerance: float) -> list[tup
     return out
 
 
-def triangles(points: np.ndarray, most_points: int = 20, most: int = 600) -> list[tuple[tuple[int, int, int], tuple[float, float]]]:
-    """Vertices ordered by the opposite side, longest last, with the two side ratios; largest areas first."""
-    out = []
-    for t in itertools.combinations(range(min(len(points), most_points)), 3):
+def sides(p: np.ndarray) -> np.ndarray:
+    """Lengths of a triangle's sides, each opposite to the vertex of its place."""
+    return np.hypot(*(p[[1, 2, 0]] - p[[2, 0, 1]]).T)
+
+
+def area(p: np.ndarray) -> float:
+    (ux, uy), (vx, vy) = p[1] - p[0], p[2] - p[0]
+    return abs(float(ux * vy - uy * vx)) / 2
+
+
+def triangles(points: np.ndarray, most_points: int = 30, most: int = 600, least_area: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Corners (n, 3) and shapes (n, 2: shorter sides over the longest) of the triangles among the first points, the largest areas first."""
+    n = min(len(points), most_points)
+    t = np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    p = points[t]
+    u, v = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    size = np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2
+    keep = np.argsort(-size, kind="stable")
+    keep = keep[size[keep] >= least_area][:most]
+    s = np.sort(np.stack([np.hypot(*(p[keep, i] - p[keep, j]).T) for i, j in ((0, 1), (1, 2), (2, 0))], axis=1), axis=1)
+    return t[keep], s[:, :2] / s[:, 2:]
+
+
+def near_triangles(points: np.ndarray, most_points: int = 80, neighbours: int = 5, most: int = 1200, least_area: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """The same of each point with its nearest (itself among them); shapes are longest over middle and middle over shortest side, and corners stand
+    opposite to the shortest, the middle and the longest side."""
+    points = points[:most_points]
+    if len(points) < 3:
+        return np.zeros((0, 3), np.int64), np.zeros((0, 2))
+    far = np.hypot(points[:, None, 0] - points[None, :, 0], points[:, None, 1] - points[None, :, 1])
+    near = np.argsort(far, axis=1, kind="stable")[:, : max(3, neighbours)]
+    found = []
+    for t in dict.fromkeys(tuple(sorted(c)) for row in near.tolist() for c in itertools.combinations(row, 3)):
         p = points[list(t)]
-        side = [math.dist(p[1], p[2]), math.dist(p[0], p[2]), math.dist(p[0], p[1])]
-        area = abs((p[1][0] - p[0][0]) * (p[2][1] - p[0][1]) - (p[2][0] - p[0][0]) * (p[1][1] - p[0][1])) / 2
-        if area >= 2:
-            o = sorted(range(3), key=lambda i: side[i])
-            out.append((-area, tuple(t[i] for i in o), (side[o[0]] / side[o[2]], side[o[1]] / side[o[2]])))
-    return [(t, s) for _, t, s in sorted(out)[:most]]
+        if (size := area(p)) >= least_area:
+            s = sides(p)
+            o = np.argsort(s, kind="stable")
+            found.append((-size, [t[i] for i in o], (s[o[2]] / s[o[1]], s[o[1]] / s[o[0]])))
+    found.sort(key=lambda x: x[0])
+    return np.array([t for _, t, _ in found[:most]], np.int64).reshape(-1, 3), np.array([s for *_, s in found[:most]]).reshape(-1, 2)
+
+
+def most_pairs(ref: np.ndarray, mov: np.ndarray, matrices: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each matrix how many pairs within tolerance there can be: the fewer of the stars on either side that have any."""
+    out = np.zeros(len(matrices), np.int64)
+    for at in range(0, len(matrices), 64):
+        m = matrices[at : at + 64]
+        p = np.einsum("hij,mj->hmi", m, np.hstack([mov, np.ones((len(mov), 1))]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q = p[:, :, :2] / np.where(np.abs(p[:, :, 2:]) > 1e-12, p[:, :, 2:], np.nan)
+        close = np.hypot(q[:, :, None, 0] - ref[None, None, :, 0], q[:, :, None, 1] - ref[None, None, :, 1]) <= tolerance
+        out[at : at + 64] = np.minimum(close.any(axis=2).sum(axis=1), close.any(axis=1).sum(axis=1))
+    return out
+
 
+def scored(ref: np.ndarray, mov: np.ndarray, matrix: np.ndarray, tolerance: float) -> tuple[list[tuple[int, int]], float]:
+    pairs = greedy_pairs(ref, moved(mov, matrix), tolerance)
+    if not pairs:
+        return pairs, math.inf
+    off = moved(mov[[j for _, j in pairs]], matrix) - ref[[i for i, _ in pairs]]
+    return pairs, float(np.sqrt((off**2).sum(axis=1).mean()))
 
-def solve(ref: np.ndarray, mov: np.ndarray, model: str = "similarity", tolerance: float = 3.0, descriptor: float = 0.025) -> tuple[np.ndarray, int, float]:
-    """Hypotheses from triangles of like shape (whole offsets for translations), scored by one-to-one pairs; two refits."""
+
+def best_of(ref: np.ndarray, mov: np.ndarray, hypotheses: list[np.ndarray], model: str, tolerance: float, refits: int) -> tuple[np.ndarray, int, float]:
+    """The hypothesis with most one-to-one pairs, then least rms, the first of equals; then fitted anew to its pairs, as long as that is no worse."""
     fit, least = FITS[model]
-    hypotheses = []
-    if model == "translation":
-        hypotheses = [fit_translation(m[None], r[None]) for r in ref[:30] for m in mov[:30]]
-    else:
-        tr, tm = triangles(ref), triangles(mov)
-        if tr and tm:
-            dr, dm = np.array([s for _, s in tr]), np.array([s for _, s in tm])
-            far = np.hypot(dr[:, None, 0] - dm[None, :, 0], dr[:, None, 1] - dm[None, :, 1])
-            order = np.argsort(far, axis=None, kind="stable")[:600]
-            hypotheses = [fit_similarity(mov[list(tm[k % len(tm)][0])], ref[list(tr[k // len(tm)][0])]) for k in order.tolist() if far.flat[k] <= descriptor]
-    best = (np.eye(3), 0, math.inf)
-    for h in hypotheses:
-        for _ in range(3):
-            pairs = greedy_pairs(ref, moved(mov, h), tolerance)
-            if len(pairs) < least:
+    best: tuple[np.ndarray, list[tuple[int, int]], float] = (np.eye(3), [], math.inf)
+    if hypotheses:
+        bound = most_pairs(ref, mov, np.array(hypotheses), tolerance)
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(len(best[1]), 1):
                 break
-            r, m = ref[[i for i, _ in pairs]], mov[[j for _, j in pairs]]
-            rms = float(np.sqrt(((moved(m, h) - r) ** 2).sum(axis=1).mean()))
-            if (len(pairs), -rms) > (best[1], -best[2]):
-                best = (h, len(pairs), rms)
-            h = fit(m, r)
-    return best
+            pairs, rms = scored(ref, mov, hypotheses[k], tolerance)
+            if (len(pairs), -rms) > (len(best[1]), -best[2]):
+                best = (hypotheses[k], pairs, rms)
+    for _ in range(refits):
+        if len(best[1]) < least:
+            break
+        h = fit(mov[[j for _, j in best[1]]], ref[[i for i, _ in best[1]]])
+        pairs, rms = scored(ref, mov, h, tolerance)
+        if (len(pairs), -rms) < (len(best[1]), -best[2]):
+            break
+        best = (h, pairs, rms)
+    return best[0], len(best[1]), best[2]
+
+
+def solve(ref: np.ndarray, mov: np.ndarray, model: str = "similarity", tolerance: float = 3.0, descriptor: float = 0.025, most: int = 600) -> tuple[np.ndarray, int, float]:
+    """Hypotheses: whole offsets between the 35 brightest of either side, and for other models fits to triangles of like shape, corners in
+    all six orders, `most` at most."""
+    fit, least = FITS[model]
+    hypotheses = [fit_translation(m[None], r[None]) for r in ref[:35] for m in mov[:35]]
+    if model != "translation":
+        by_corners, count = (fit if least <= 3 else fit_similarity), 0
+        (tr, sr), (tm, sm) = triangles(ref), triangles(mov)
+        for corners, shape in zip(tm, sm, strict=True):
+            if count >= most:
+                break
+            for k in np.flatnonzero(np.hypot(*(sr - shape).T) <= descriptor).tolist():
+                hypotheses += [by_corners(mov[corners], ref[tr[k][list(o)]]) for o in itertools.permutations(range(3))]
+                count += 6
+                if count >= most:
+                    break
+    return best_of(ref, mov, hypotheses, model, tolerance, 2)
+
+
+def solve_asterisms(ref: np.ndarray, mov: np.ndarray, model: str = "similarity", tolerance: float = 3.0, radius: float = 0.1, most: int = 1500) -> tuple[np.ndarray, int, float]:
+    """Hypotheses from triangles of near stars whose shapes lie within radius, the `most` nearest shapes, each with its first two corners either
+    way round; three refits."""
+    fit = FITS[model][0]
+    (tr, sr), (tm, sm) = near_triangles(ref), near_triangles(mov)
+    if not len(tr) or not len(tm):
+        return np.eye(3), 0, math.inf
+    far = np.hypot(sm[:, None, 0] - sr[None, :, 0], sm[:, None, 1] - sr[None, :, 1])
+    order = np.argsort(far, axis=None, kind="stable")[:most]
+    hypotheses = []
+    for k in order[far.flat[order] <= radius].tolist():
+        m, r = tm[k // len(tr)], tr[k % len(tr)]
+        hypotheses += [fit(mov[m], ref[r]), fit(mov[m], ref[r[[1, 0, 2]]])]
+    return best_of(ref, mov, hypotheses, model, tolerance, 3)
+
+
+SOLVERS = {"triangles": solve, "asterisms": solve_asterisms}
 
 
-def register(stars: DataFrame, reference: DataFrame, model: str = "similarity", tolerance: float = 3.0, min_inliers: int = 6) -> DataFrame:
+def register(stars: DataFrame, reference: DataFrame, model: str = "similarity", tolerance: float = 3.0, min_inliers: int = 6, solver: str = "triangles") -> DataFrame:
     """stars (frame, x, y, flux) against reference (x, y, flux), which is one frame's catalogue: a matrix for each frame."""
     ref = reference.orderBy(F.desc("flux"), "y", "x").limit(80).select("x", "y").toPandas().to_numpy(float)  # one frame's brightest
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         mov = p.sort_values(["flux", "y", "x"], ascending=[False, True, True])[["x", "y"]].to_numpy(float)[:80]
-        h, n, rms = solve(ref, mov, model, tolerance) if len(ref) and len(mov) else (np.eye(3), 0, math.inf)
+        h, n, rms = SOLVERS[solver](ref, mov, model, tolerance) if len(ref) and len(mov) else (np.eye(3), 0, math.inf)
         return pd.DataFrame({"frame": [p["frame"].iloc[0]], "matrix": [h.tolist()], "inliers": [n], "rms": [rms if n else None], "status": ["ok" if n >= min_inliers else "failed"]})
 
     return stars.groupBy("frame").applyInPandas(one, "frame long, matrix array<array<double>>, inliers int, rms double, status string")
 
 
 def phase_correlation(images: DataFrame, reference: DataFrame, height: int, width: int) -> DataFrame:
-    """The shift at the peak of the normalised cross-power spectrum, signed."""
-    ref = np.zeros((height, width))
-    for r in reference.select("y", "x", "v").collect():  # one image
-        ref[r.y, r.x] = r.v
+    """The shift at the peak of the normalised cross-power spectrum, signed. The reference image comes to the driver as Arrow."""
+    ref, got = np.zeros((height, width)), reference.select("y", "x", "v").toArrow()
+    ref[got["y"].to_numpy(), got["x"].to_numpy()] = got["v"].to_numpy()
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((height, width))

@@ -22,9 +22,9 @@ def valid(v: str = "v", dq: str | None = "dq") -> Column:
 
 
 def usable_weight(w: Column) -> Column:
-    """Missing is 1; what isn't a positive finite number is 0."""
+    """Missing is 1; what isn't a positive finite number is 0. Whole numbers stay whole, so that sums of them are exact."""
     d = w.cast("double")
-    return F.when(w.isNull(), F.lit(1.0)).when(F.isnan(d) | (d <= 0) | (d == float("inf")), F.lit(0.0)).otherwise(d)
+    return F.when(w.isNull(), 1).when(F.isnan(d) | (d <= 0) | (d == float("inf")), 0).otherwise(w)
 
 
 def pop_std(n: Column, s: Column, ss: Column) -> Column:
@@ -102,7 +102,7 @@ def combine(d: DataFrame, px: list[str], method: str = "mean", weight: str | Non
     n = F.coalesce(F.sum(one), F.lit(0)).cast("bigint")
     v = F.when(keep, F.col("v"))
     if method == "weighted_mean":
-        g = F.greatest(F.coalesce(F.col(weight), F.lit(1)), F.lit(0)) if weight else F.lit(1)
+        g = usable_weight(F.col(weight)) if weight else F.lit(1)
         s, sw, ss = F.sum(F.when(keep, F.col("v") * g)), F.sum(F.when(keep, g)), F.sum(F.when(keep, F.col("v") * F.col("v") * g))
         master = F.try_divide(s.cast("double"), sw.cast("double"))
         var = F.greatest(F.try_divide(ss.cast("double"), sw.cast("double")) - master * master, F.lit(0.0))

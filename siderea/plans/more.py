@@ -44,15 +44,6 @@ def quality_metrics_compare(spark, sf):
     return rounded(rounded(r, "baseline", "candidate", digits=4), "ratio")
 
 
-@query(f"WITH {PAIRS_SQL}, ct AS (SELECT filt, quantile_cont(abs(c - r), 0.95) AS cut FROM pairs GROUP BY filt), t AS (SELECT frame, count(*) FILTER (abs(c - r) >= cut) AS tail, count(*) FILTER (abs(c - r) >= cut AND c < r) AS neg, count(*) FILTER (abs(c - r) >= cut AND (y IN (0, 7) OR x IN (0, 7))) AS edge FROM pairs JOIN ct USING (filt) GROUP BY frame) SELECT frame, tail, CASE WHEN tail = 0 THEN 'no_tail' WHEN edge / CAST(tail AS DOUBLE) >= 0.5 THEN 'check_edges' WHEN neg >= 0.8 * tail THEN 'too_low' WHEN neg <= 0.2 * tail THEN 'too_high' ELSE 'mixed' END AS recommendation FROM t")
-def outlier_recommendation(spark, sf):
-    p = Q._pairs(spark, sf).withColumn("d", F.col("c") - F.col("r"))
-    cut = p.groupBy("filt").agg(F.percentile(F.abs("d"), F.lit(0.95)).alias("cut"))
-    tail = F.abs("d") >= F.col("cut")
-    t = p.join(cut, "filt").groupBy("frame").agg(F.count_if(tail).alias("tail"), F.count_if(tail & (F.col("d") < 0)).alias("neg"), F.count_if(tail & (F.col("y").isin(0, 7) | F.col("x").isin(0, 7))).alias("edge"))
-    return t.select("frame", "tail", audit.recommendation(F.col("tail"), F.col("neg"), F.try_divide("edge", "tail")).alias("recommendation"))
-
-
 @query(f"WITH {SAMPLES_SQL}, st AS (SELECT px, quantile_cont(v, 0.5) AS c, {STD} AS s FROM samples GROUP BY px), f AS (SELECT s.*, s > 0 AND abs(v - c) > 1.5 * s AS out FROM (SELECT samples.*, c, st.s AS s FROM samples JOIN st USING (px)) s), g AS (SELECT px, count(*) - count(*) FILTER (out) >= 3 AND count(*) FILTER (out) <= count(*) * 0.5 AS ok FROM f GROUP BY px), k AS (SELECT f.*, NOT (out AND ok) AS keep FROM f JOIN g USING (px)) SELECT frame, CAST(coalesce(sum(w * v) FILTER (keep), 0) AS BIGINT) AS weighted, CAST(coalesce(sum(w) FILTER (keep), 0) AS BIGINT) AS weight, count(*) FILTER (keep) AS accepted, count(*) AS samples, round(CAST(count(*) FILTER (keep) AS DOUBLE) / count(*), 6) AS accepted_fraction FROM k GROUP BY frame".replace("(SELECT s.*, s > 0 AND abs(v - c) > 1.5 * s AS out FROM", "(SELECT s.*, s.s > 0 AND (v < c - 1.5 * s.s OR v > c + 1.5 * s.s) AS out FROM"))
 def frame_contribution(spark, sf):
     d = stack.reject(samples(spark, sf), ["px"], Rejection("sigma", 1.5, 1.5))
@@ -90,23 +81,11 @@ def registration_triage(spark, sf):
     return audit.triage(o.withColumn("failed", k % 4 == 0), o.withColumn("failed", k % 5 == 0), "k")
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'not_resident_run' WHEN o_orderkey % 7 = 0 THEN 'restart_failed_stage' WHEN o_orderkey % 5 = 0 THEN 'start' WHEN o_orderkey % 5 < 4 THEN 'resume_next_stage' ELSE 'noop_complete' END AS action FROM orders")
-def resume_preflight(spark, sf):
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("k"), audit.resume_action(k % 3 != 0, (k % 7 == 0).cast("int"), k % 5, F.lit(4)).alias("action"))
-
-
 @query("SELECT p_partkey, CAST(p_size * 40000 AS BIGINT) AS frame_bytes, CAST(3 * 40000 AS BIGINT) AS master_bytes, CAST(8 * 40000 AS BIGINT) AS batch_bytes, CAST(7 * 40000 AS BIGINT) AS output_bytes, CAST((p_size + 18) * 40000 AS BIGINT) AS peak_bytes FROM part")
 def memory_plan(spark, sf):
     return table(spark, sf, "part").select("p_partkey", *[v.cast("bigint").alias(k) for k, v in audit.memory_plan(F.col("p_size"), F.lit(100), F.lit(100), F.lit(3), F.lit(8)).items()])
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN (o_orderkey % 6 <> 0 AND o_orderkey % 20 >= 6 AND o_custkey % 4 <= 2) THEN 'accepted' ELSE 'excluded' END AS decision FROM orders")
-def registration_quality(spark, sf):
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("k"), audit.registration_quality(F.when(k % 6 != 0, "ok").otherwise("failed"), k % 20, (F.col("o_custkey") % 4).cast("double"), "exclude", 6, 2.0).alias("decision"))
-
-
 @query(f"WITH {PAIRS_SQL}, f AS (SELECT frame, quantile_cont(v, 0.5) AS m, {STD} AS s FROM images GROUP BY frame), r AS (SELECT m AS rm, s AS rs FROM f WHERE frame = 0) SELECT i.frame, y, x, round((v - m) / s * rs + rm, 3) AS matched FROM images i JOIN f USING (frame), r")
 def match_global_background(spark, sf):
     im = images(spark, sf)

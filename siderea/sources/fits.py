@@ -1,4 +1,4 @@
-"""FITS images (mono, uncompressed): headers, tiles, a Spark data source and a writer. No FITS library is needed.
+"""FITS and XISF images (mono, uncompressed): headers, tiles, a Spark data source and a writer. No FITS library is needed.
 
 spark.dataSource.register(FitsSource); spark.read.format("fits").load(folder) gives one row per tile; options: tile (pixels a side),
 stride (every n-th row and column), columns of no interest cost nothing but their bytes.
@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from siderea.functions import metadata as meta
 from siderea.sources.shared import filesystem
 
 BLOCK = 2880
+TASK_BYTES = 64 << 20
 # Sample types by BITPIX.
 TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 SUFFIXES = (".fit", ".fits", ".fts", ".xisf")
@@ -30,28 +33,23 @@ class BadFile(ValueError):
     pass
 
 
+_QUOTED = re.compile(r"\s*'((?:[^']|'')*)'?")
+
+
 def card_value(text: str):
     """Of what follows '= ' in a card: str, bool, int, float or None."""
-    text = text.strip()
-    if text.startswith("'"):
-        out, i = [], 1
-        while i < len(text):
-            if text[i] == "'":
-                if text[i + 1 : i + 2] != "'":
-                    break
-                i += 1
-            out.append(text[i])
-            i += 1
-        return "".join(out).rstrip()
-    text = text.split("/", 1)[0].strip()
-    if text in ("T", "F"):
-        return text == "T"
-    for kind in (int, float):
+    if quoted := _QUOTED.match(text):
+        return quoted[1].replace("''", "'").rstrip()
+    bare = text.partition("/")[0].strip()
+    if bare in ("T", "F"):
+        return bare == "T"
+    try:
+        return int(bare)
+    except ValueError:
         try:
-            return kind(text.replace("D", "E") if kind is float else text)
+            return float(bare.replace("D", "E"))
         except ValueError:
-            pass
-    return text or None
+            return bare or None
 
 
 def read_header(stream) -> tuple[dict, int]:
@@ -127,32 +125,54 @@ def image_paths(folder: str) -> list[str]:
     return sorted(p for p in found if p.lower().endswith(SUFFIXES) and not SIDECARS.search(p[len(at) :].rsplit("/", 1)[0] + "/"))
 
 
-class _Tiles(InputPartition):
-    def __init__(self, path: str, y0: int, y1: int):
-        self.path, self.y0, self.y1 = path, y0, y1
+class _Bands(InputPartition):
+    """Bands of rows (path, first, end) that one task reads."""
+
+    def __init__(self, bands: list[tuple[str, int, int]]):
+        self.bands = bands
+
+
+def image_spec(path: str, stream) -> dict:
+    """Of a FITS or XISF file."""
+    from siderea.sources.xisf import read_xisf_header, tile_spec
+
+    return tile_spec(read_xisf_header(stream)[1]) if path.lower().endswith(".xisf") else spec(*read_header(stream))
 
 
 class FitsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.tile, self.stride = options["path"], int(options.get("tile", 512)), int(options.get("stride", 1))
 
-    def partitions(self) -> list[_Tiles]:
+    def partitions(self) -> list[_Bands]:
+        """Headers are read in threads; a task gets bands of up to TASK_BYTES."""
         fs, _ = filesystem(self.folder)
-        out = []
-        for p in image_paths(self.folder):
-            if not p.lower().endswith(".xisf"):
-                with fs.open_input_file(p) as f:
-                    h = spec(*read_header(f))["height"]
-                out += [_Tiles(p, y, min(h, y + self.tile)) for y in range(0, h, self.tile)]
+
+        def bands(path: str) -> list[tuple[int, str, int, int]]:
+            with fs.open_input_file(path) as f:
+                s = image_spec(path, f)
+            row = s["width"] * np.dtype(s["dtype"]).itemsize
+            return [(row * (min(s["height"], y + self.tile) - y), path, y, min(s["height"], y + self.tile)) for y in range(0, s["height"], self.tile)]
+
+        with ThreadPoolExecutor(16) as pool:
+            found = [x for b in pool.map(bands, image_paths(self.folder)) for x in b]
+        out, size, most = [_Bands([])], 0, max(1, -(-len(found) // 16))
+        for n, *band in found:
+            if out[-1].bands and (size + n > TASK_BYTES or len(out[-1].bands) >= most):
+                out.append(_Bands([]))
+                size = 0
+            out[-1].bands.append(tuple(band))
+            size += n
         return out
 
-    def read(self, part: _Tiles) -> Iterator[tuple]:
+    def read(self, part: _Bands) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.folder)
-        with fs.open_input_file(part.path) as f:
-            s = spec(*read_header(f))
-            for x0 in range(0, s["width"], self.tile):
-                t = read_tile(f, s, part.y0, part.y1, x0, min(s["width"], x0 + self.tile), self.stride)
-                yield part.path, part.y0, x0, t.shape[0], t.shape[1], t.ravel().tolist()
+        for path, y0, y1 in part.bands:
+            with fs.open_input_file(path) as f:
+                s = image_spec(path, f)
+                for x0 in range(0, s["width"], self.tile):
+                    t = read_tile(f, s, y0, y1, x0, min(s["width"], x0 + self.tile), self.stride)
+                    data = pa.ListArray.from_arrays(pa.array([0, t.size], pa.int32()), pa.array(t.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([v], pa.int32()) for v in (y0, x0, t.shape[0], t.shape[1])), data], ["path", "y0", "x0", "h", "w", "data"])
 
 
 class FitsSource(DataSource):
