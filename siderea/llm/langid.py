@@ -31,7 +31,9 @@ BUCKET_BITS = 15
 DAMPING = 1 / 8
 SMOOTH = 5.0
 _COMMENT = "<!--"
-_HIDING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_HIDING = re.compile(r"<(?:!--|(script|style|noscript|template)\b)", re.I)
+_ENDING = {k: re.compile("</" + k, re.I) for k in ("script", "style", "noscript", "template")}
+_TAG = re.compile(r"<[^>]*>")
 _OPENING = re.compile(r"<(?:html|meta)\b", re.I)
 _ATTRIBUTE = re.compile(r"""(?<![a-z:-])([a-z:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _CODE = re.compile(r"[A-Za-z]{2,3}\b")
@@ -42,7 +44,6 @@ def shown(page: str, noscript: bool) -> str:
     """page without comments, scripts, styles, templates and, unless noscript, noscript elements; what isn't closed stays. One pass: each
     kind of end is looked for until it isn't found once, and never again."""
     parts, at, ended = [], 0, set()
-    lower = None
     for m in _HIDING.finditer(page):
         if m.start() < at:
             continue
@@ -50,41 +51,34 @@ def shown(page: str, noscript: bool) -> str:
         if kind in ended or (noscript and kind == "noscript"):
             continue
         if kind == _COMMENT:
-            end = page.find("-->", m.end())
-            after = end + 3
+            after = page.find("-->", m.end()) + 3
+            found = after > 2
         else:
-            lower = _lowered(page) if lower is None else lower
-            end = lower.find(f"</{kind}", m.end())
-            after = lower.find(">", end) + 1 if end >= 0 else 0
-            end = end if after else -1
-        if end < 0:
+            end = _ENDING[kind].search(page, m.end())
+            after = page.find(">", end.end()) + 1 if end else 0
+            found = after > 0
+        if not found:
             ended.add(kind)
             continue
         parts.append(page[at : m.start()])
         at = after
-    return " ".join([*parts, page[at:]])
-
-
-def _lowered(page: str) -> str:
-    """A-Z as a-z, all else as it is, so that places stay."""
-    return page.translate(_LOWER)
-
-
-_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    return " ".join([*parts, page[at:]]) if parts else page
 
 
 def visible(page: str) -> str:
     """Without tags; a "<" that nothing closes is text."""
-    page, parts, at = shown(page, False), [], 0
-    while (start := page.find("<", at)) >= 0 and (end := page.find(">", start)) >= 0:
-        parts.append(page[at:start])
-        at = end + 1
-    return html.unescape(" ".join([*parts, page[at:]]))
+    page = shown(page, False)
+    last = page.rfind(">") + 1  # up to here every "<" is closed, so that one pass takes all tags
+    return html.unescape(_TAG.sub(" ", page[:last]) + page[last:])
 
 
 def declared(page: str) -> str:
     """The language of the html element, else of a content-language meta; they may stand behind any length of comments and scripts."""
-    page, meta, end = shown(page, True), "", -1
+    return _declared(shown(page, True))
+
+
+def _declared(page: str) -> str:
+    meta, end = "", -1
     for m in _OPENING.finditer(page):
         if m.start() < end:
             continue
@@ -173,8 +167,9 @@ def evidence(pages: DataFrame, model: Trigrams) -> DataFrame:
         for b in batches:
             rows = []
             for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                p = np.exp(m.likelihoods(visible(page or "")))
-                rows.append((*address(url or ""), declared(page or ""), (p / p.sum()).tolist()))
+                body = shown(page or "", True)
+                p = np.exp(m.likelihoods(visible(body)))
+                rows.append((*address(url or ""), _declared(body), (p / p.sum()).tolist()))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["page_id", "host", "domain", "suffix", "declared", "post"])
