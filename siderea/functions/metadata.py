@@ -62,3 +62,21 @@ def warning_value(warning: Column, key: str) -> Column:
     """The value of key=value."""
     v = F.regexp_extract(warning, rf"^{key}=(.*)$", 1)
     return F.when(warning.startswith(f"{key}="), v)
+
+
+def scalar_kind(value: Column) -> Column:
+    """Of a text, what it reads as: null, empty, boolean, integer, float or text."""
+    t = F.lower(F.regexp_replace(value, r"^\s+|\s+$", ""))
+    return (
+        F.when(value.isNull(), "null").when(t == "", "empty").when(t.isin("true", "false"), "boolean").when(t.rlike(r"^[+-]?[0-9]+$"), "integer")
+        .when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?$"), "float").otherwise("text")
+    )
+
+
+def compact_decode_reason(bitpix: Column, bscale: Column, bzero: Column, blank: Column, shape_ok: Column) -> Column:
+    """Why pixels can't be read as unsigned 16-bit numbers at once; empty if they can. Reasons are fixed values; null headers are defaults."""
+    scale, zero = F.coalesce(bscale, F.lit(1.0)).cast("double"), F.coalesce(bzero, F.lit(0.0)).cast("double")
+    return (
+        F.when(~shape_ok, "shape_mismatch").when(bitpix != 16, F.concat(F.lit("bitpix_not_16:"), bitpix.cast("string"))).when(scale != 1.0, F.concat(F.lit("bscale_not_1:"), F.regexp_replace(F.round(scale, 6).cast("string"), r"\.0$", "")))
+        .when(zero != 32768.0, F.concat(F.lit("bzero_not_32768:"), F.regexp_replace(F.round(zero, 6).cast("string"), r"\.0$", ""))).when(blank.isNotNull(), "blank_present").otherwise("")
+    )

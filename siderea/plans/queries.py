@@ -21,6 +21,8 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
