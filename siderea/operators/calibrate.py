@@ -16,10 +16,15 @@ def master(images: DataFrame, by: list[str], rejection: Rejection = Rejection("w
     return stack(images, [*by, *PIXEL], "mean", rejection).select(*by, *PIXEL, "master", "coverage")
 
 
-def master_flat(flats: DataFrame, bias: DataFrame, by: list[str], floor: float = 1e-6) -> DataFrame:
-    """Each flat less the bias is divided by its own median; their mean is the flat, at least `floor`."""
+def master_flat(flats: DataFrame, bias: DataFrame, by: list[str], floor: float = 1e-6, flat_dark: DataFrame | None = None) -> DataFrame:
+    """Each flat less the bias, and less the master of its darks if there is one, is divided by its own median; their mean is the flat, at
+    least `floor`."""
     d = flats.join(bias.select(*by, *PIXEL, F.col("master").alias("b")), [*by, *PIXEL], "left")
-    d = d.withColumn("r", F.round(F.col("v") - F.coalesce("b", F.lit(0.0))).cast("bigint"))
+    less = F.coalesce("b", F.lit(0.0))
+    if flat_dark is not None:
+        d = d.join(flat_dark.select(*by, *PIXEL, F.col("master").alias("fd")), [*by, *PIXEL], "left")
+        less = less + F.coalesce("fd", F.lit(0.0))
+    d = d.withColumn("r", F.round(F.col("v") - less).cast("bigint"))
     level = d.groupBy(*by, "frame").agg(F.percentile("r", F.lit(0.5)).alias("level"))
     # in millionths of the level, so that the sum is exact
     n = d.join(level, [*by, "frame"]).withColumn("n", F.round(F.try_divide(F.col("r") * 1000000, F.col("level"))).cast("bigint"))
@@ -45,6 +50,14 @@ def overscan(images: DataFrame, width: int, height: int, columns: int, rows: int
     return out.filter((F.col("x") < width - columns) & (F.col("y") < height - rows)) if trim else out
 
 
+def image_stats(images: DataFrame, by: list[str]) -> DataFrame:
+    """min, max, mean, median and population deviation, by group; whole numbers are summed exactly."""
+    n, s = F.count("v").cast("double"), F.sum("v").cast("double")
+    ss = F.sum(F.col("v") * F.col("v")).cast("double")
+    std = F.sqrt(F.greatest(F.try_divide(ss - F.try_divide(s * s, n), n), F.lit(0.0)))
+    return images.groupBy(*by).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.try_divide(s, n).alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), std.alias("std"))
+
+
 def robust_background(images: DataFrame, by: list[str]) -> DataFrame:
     """median, mad, noise (1.4826 mad, else the deviation, else 1), by group."""
     med = images.groupBy(*by).agg(F.percentile("v", F.lit(0.5)).alias("median"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"), F.count("v").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,58 @@ def residuals(pairs: DataFrame, by: list[str]) -> DataFrame:
     first = d.groupBy(*by).agg(F.count("d").alias("n"), ratio(F.sum("d"), F.count("d")).alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.sqrt(ratio(F.sum(F.col("d") * F.col("d")), F.count("d"))).alias("rms"), F.percentile(F.abs("d"), F.lit(0.95)).alias("p95"), F.max(F.abs("d")).alias("largest"))
     mad = d.join(first.select(*by, "median"), by).groupBy(*by).agg(F.percentile(F.abs(F.col("d") - F.col("median")), F.lit(0.5)).alias("mad"))
     return first.join(mad, by)
+
+
+def finite(pairs: DataFrame) -> DataFrame:
+    """Pairs whose sides are both finite numbers."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return pairs.filter(ok("c") & ok("r"))
+
+
+def fitted(pairs: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs with scale c + offset for c; groups without a fit go."""
+    good = fit.filter("scale is not null").select(*by, F.col("scale").alias("_s"), F.col("offset").alias("_o"))
+    return pairs.join(good, by).withColumn("c", F.col("_s") * F.col("c") + F.col("_o")).drop("_s", "_o")
+
+
+def fit_report(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The least-squares fit of finite pairs with the differences it leaves; groups of fewer than two pairs or without spread have none."""
+    d = finite(pairs)
+    fit = linear_fit(d, by).filter("n >= 2")
+    return fit.join(diff_stats(fitted(d, fit, by), by).drop("n"), by)
+
+
+def robust_fit_report(pairs: DataFrame, by: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """The fit inside both percentile boxes: how many pairs and which part of all it rests on, and the differences that it leaves in all
+    pairs (all_rms, all_p99, all_max) and in those of the box (fit_rms, fit_p99, fit_max)."""
+    d, ps = finite(pairs), F.array(F.lit(low), F.lit(high))
+    box = d.groupBy(*by).agg(F.percentile("c", ps).alias("pc"), F.percentile("r", ps).alias("pr"), F.count("*").alias("pairs"))
+    inside = d.join(box, by).withColumn("inside", F.expr("c between pc[0] and pc[1] and r between pr[0] and pr[1]")).drop("pc", "pr")
+    fit = linear_fit(inside.filter("inside"), by).filter("n >= 2")
+    left = fitted(inside, fit, by).withColumn("d", F.abs(F.col("c") - F.col("r")))
+
+    def stats(name: str, x: Column) -> list[Column]:
+        return [F.sqrt(F.avg(x * x)).alias(f"{name}_rms"), F.percentile(x, F.lit(0.99)).alias(f"{name}_p99"), F.max(x).alias(f"{name}_max")]
+
+    rest = left.groupBy(*by).agg(F.max("pairs").alias("pairs"), *stats("all", F.col("d")), *stats("fit", F.when(F.col("inside"), F.col("d"))))
+    out = fit.withColumnRenamed("n", "fit_pixels").join(rest, by)
+    return out.withColumn("fit_fraction", ratio(F.col("fit_pixels"), F.col("pairs"))).drop("pairs")
+
+
+def hotspots(pairs: DataFrame, by: list[str], tile: int, limit: int = 16) -> DataFrame:
+    """Of each group the tiles whose differences have the largest 99th percentile, then rms; the first by place of equals."""
+    d = finite(pairs).withColumns({"d": F.col("c") - F.col("r"), "ty": F.expr(f"cast(y div {tile} as int)"), "tx": F.expr(f"cast(x div {tile} as int)")})
+    n = F.count("d")
+    t = d.groupBy(*by, "ty", "tx").agg(n.alias("pixels"), ratio(F.sum("d"), n).alias("mean_diff"), F.sqrt(ratio(F.sum(F.col("d") * F.col("d")), n)).alias("rms_diff"), F.percentile(F.abs("d"), F.lit(0.99)).alias("p99_abs_diff"), F.max(F.abs("d")).alias("max_abs_diff"))
+    w = Window.partitionBy(*by).orderBy(F.desc("p99_abs_diff"), F.desc("rms_diff"), "ty", "tx")
+    return t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+def tail_summary(pairs: DataFrame, by: list[str], height: int, width: int, edge: int, at: float = 0.999) -> DataFrame:
+    """The tail of each group's differences: its threshold, pixels, signs, and the part within `edge` pixels of the border."""
+    d = finite(pairs).withColumn("d", F.col("c") - F.col("r"))
+    cut = d.groupBy(*by).agg(F.percentile(F.abs("d"), F.lit(at)).alias("threshold"), F.count("*").alias("compared"))
+    border = F.least(F.col("x"), F.col("y"), F.lit(width - 1) - F.col("x"), F.lit(height - 1) - F.col("y"))
+    tail = d.join(cut, by).filter(F.abs("d") >= F.col("threshold"))
+    n = F.count("*")
+    return tail.groupBy(*by).agg(F.max("threshold").alias("threshold"), F.max("compared").alias("compared"), n.alias("tail_pixels"), F.count_if(F.col("d") < 0).alias("negative"), F.count_if(F.col("d") > 0).alias("positive"), ratio(F.count_if(border <= edge), n).alias("edge_fraction"))

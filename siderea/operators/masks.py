@@ -83,3 +83,22 @@ def transformed(v: Column, scale: float | None = None, offset: float | None = No
     out = out if offset is None else out + offset
     out = out if low is None else F.greatest(out, F.lit(float(low)))
     return out if high is None else F.least(out, F.lit(float(high)))
+
+
+def flag_counts(maps: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+    """maps (by, dq): pixels by flag name, in one scan; valid counts those without any bit. Names are taken in lower case and once each; a
+    name that isn't a flag's counts nothing and is marked unknown."""
+    names = list(dict.fromkeys(f.lower() for f in flags))
+    bits = {"valid": 0, **DQ_FLAGS}
+    hit = {n: F.col("dq") == 0 if n == "valid" else F.col("dq").bitwiseAND(bits[n]) != 0 if n in bits else F.lit(False) for n in names}
+    wide = maps.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in hit.items()])
+    known = F.col("flag").isin(list(bits))
+    return wide.unpivot(by, names, "flag", "n").withColumn("unknown", ~known)
+
+
+def merged_counts(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Counts of parts (by, flag, n) added up."""
+    out = parts[0].select(*by, "flag", "n")
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*by, "flag", "n"))
+    return out.groupBy(*by, "flag").agg(F.sum("n").alias("n"))

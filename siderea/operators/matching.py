@@ -68,11 +68,57 @@ def subset(frames: DataFrame, lights: DataFrame, per_group: int, sensor: list[st
     return all_rows.withColumn("new_id", F.format_string("F%06d", F.row_number().over(Window.orderBy("frame_type", "frame_id"))))
 
 
+def compatible(frames: DataFrame, lights: DataFrame, sensor: list[str] = SENSOR, tolerance: float = 1e-6) -> DataFrame:
+    """Calibration frames that some light can use: the sensor of a light, and for darks the exposure of a light within tolerance, for flats
+    the filter of a light. Exposures meet by cell of the tolerance and its neighbours."""
+    kind, e = F.col("frame_type"), F.col("exposure").cast("double")
+    cell = lambda x: F.floor(x / tolerance).cast("bigint")
+    cal = frames.filter(kind.isin("bias", "dark", "flat"))
+    sensors = lights.select(*sensor).distinct()
+    near = cal.join(sensors, [cal[s].eqNullSafe(sensors[s]) for s in sensor], "left_semi")
+    no = F.lit(None).cast("double")
+    flats = lights.filter("filter <> ''").select(F.lit("flat").alias("_t"), F.col("filter").cast("string").alias("_k"), no.alias("_e"))
+    darks = lights.filter(e.isNotNull()).select(e.alias("_e")).distinct().select(F.lit("dark").alias("_t"), F.explode(F.array(*[(cell(F.col("_e")) + i).cast("string") for i in (-1, 0, 1)])).alias("_k"), "_e")
+    wanted = flats.distinct().unionByName(darks)
+    keyed = near.withColumn("_c", F.when(kind == "flat", F.col("filter").cast("string")).when(kind == "dark", cell(e).cast("string")))
+    hit = keyed.filter("frame_type <> 'bias'").join(wanted, (kind == F.col("_t")) & (F.col("_c") == F.col("_k")) & ((kind == "flat") | (F.abs(e - F.col("_e")) <= tolerance)), "left_semi")
+    return keyed.filter("frame_type = 'bias'").unionByName(hit).drop("_c")
+
+
 def bind_sidecars(frames: DataFrame, sidecars: DataFrame, keys) -> DataFrame:
-    """Sidecars (sidecar_id, path) to frames (frame_id, path) by any shared path key: bound, ambiguous or unmatched."""
-    f = frames.select("frame_id", F.explode(keys(F.col("path"))).alias("k"))
-    s = sidecars.select("sidecar_id", F.explode(keys(F.col("path"))).alias("k"))
-    hit = s.join(f, "k").groupBy("sidecar_id").agg(F.count_distinct("frame_id").alias("n"), F.min("frame_id").alias("frame_id"))
-    out = sidecars.join(hit, "sidecar_id", "left")
-    status = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("bound")
-    return out.select("sidecar_id", F.when(status == "bound", F.col("frame_id")).alias("frame_id"), status.alias("status"))
+    """Sidecars (sidecar_id, frame_id, path, mask_path) to light frames (frame_id, path, frame_type): by id if it is a frame's, else by
+    any shared path key, in lower case. Without a mask path they are skipped; else bound, ambiguous or unmatched.
+
+    A key stands for the least and the largest id of its frames, so a key that many frames share costs no more than another: a sidecar
+    is bound if all of its keys' ends are one frame.
+    """
+    f = frames.filter("frame_type = 'light'")
+    by_key = f.select("frame_id", F.explode(keys(F.lower("path"))).alias("k")).groupBy("k").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"))
+    usable = sidecars.filter("mask_path <> ''")
+    ids = f.select(F.col("frame_id").cast("string").alias("frame_id"), F.lit(True).alias("_known")).distinct()
+    named = usable.select("sidecar_id", F.col("frame_id").cast("string").alias("frame_id"), "path").join(ids, "frame_id", "left")
+    by_path = named.filter("_known is null").select("sidecar_id", F.explode(keys(F.lower("path"))).alias("k")).join(by_key, "k").groupBy("sidecar_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_id = named.filter("_known").select("sidecar_id", F.col("frame_id").alias("lo"), F.col("frame_id").alias("hi"))
+    hit = by_id.unionByName(by_path.withColumns({"lo": F.col("lo").cast("string"), "hi": F.col("hi").cast("string")}))
+    out = sidecars.select("sidecar_id", "mask_path").join(hit, "sidecar_id", "left")
+    skipped = F.coalesce(F.col("mask_path"), F.lit("")) == ""
+    status = F.when(skipped, "skipped").when(F.col("lo").isNull(), "unmatched").when(F.col("lo") != F.col("hi"), "ambiguous").otherwise("bound")
+    return out.select("sidecar_id", F.when(status == "bound", F.col("lo")).alias("frame_id"), status.alias("status"))
+
+
+def frame_counts(frames: DataFrame, skipped: int = 0) -> DataFrame:
+    """How many frames have each type, filter, exposure, gain, temperature and shape, and how many there are: (key, value, n), one scan
+    and one shuffle. What is missing reads None, a missing filter none."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    named = {
+        "frame_type": text("frame_type"), "filter": F.coalesce(F.when(F.col("filter") != "", F.col("filter")), F.lit("none")), "exposure_s": text("exposure_s"), "gain": text("gain"),
+        "temperature_c": text("temperature_c"), "shape": F.concat(text("width"), F.lit("x"), text("height")),
+    }
+    keys = list(named)
+    sets = [[], *[[k] for k in keys]]
+    g = frames.select(*[c.alias(k) for k, c in named.items()]).groupingSets(sets, *keys).agg(F.count("*").alias("n"), *[F.grouping(k).alias(f"_{k}") for k in keys])
+    key, value = F.lit("count"), F.lit(None).cast("string")
+    for k in keys:
+        key, value = F.when(F.col(f"_{k}") == 0, k).otherwise(key), F.when(F.col(f"_{k}") == 0, F.col(k)).otherwise(value)
+    out = g.select(key.alias("key"), value.alias("value"), "n")
+    return out.unionByName(frames.sparkSession.range(1).select(F.lit("skipped_count").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(skipped).cast("bigint").alias("n")))

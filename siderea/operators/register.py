@@ -30,14 +30,17 @@ def similarity(pairs: DataFrame, by: list[str]) -> DataFrame:
     """pairs (mx, my, rx, ry): a, b, tx, ty of the similarity with least squares, in closed form from exact sums (whole numbers)."""
     s = lambda e: F.sum(e).cast("double")
     mx, my, rx, ry = (F.col(c) for c in ("mx", "my", "rx", "ry"))
-    m = pairs.groupBy(*by).agg(F.count("*").cast("double").alias("n"), s(mx).alias("sx"), s(my).alias("sy"), s(rx).alias("ux"), s(ry).alias("uy"), s(mx * mx + my * my).alias("q"), s(mx * rx + my * ry).alias("p"), s(mx * ry - my * rx).alias("c"))
+    m = pairs.groupBy(*by).agg(F.count("*").cast("double").alias("n"), s(mx).alias("sx"), s(my).alias("sy"), s(rx).alias("ux"), s(ry).alias("uy"), s(mx * mx + my * my).alias("q"), s(mx * rx + my * ry).alias("p"), s(mx * ry - my * rx).alias("c"), s(rx * rx + ry * ry).alias("t"))
     den = F.col("n") * F.col("q") - F.col("sx") * F.col("sx") - F.col("sy") * F.col("sy")
     m = m.withColumn("den", F.when((F.col("n") >= 2) & (den > 0), den))
     m = m.withColumns({"a": (F.col("n") * F.col("p") - F.col("sx") * F.col("ux") - F.col("sy") * F.col("uy")) / F.col("den"), "b": (F.col("n") * F.col("c") - F.col("sx") * F.col("uy") + F.col("sy") * F.col("ux")) / F.col("den")})
     a, b = F.coalesce("a", F.lit(1.0)), F.coalesce("b", F.lit(0.0))
     tx = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("ux") - (a * F.col("sx") - b * F.col("sy"))) / F.col("n"))
     ty = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("uy") - (b * F.col("sx") + a * F.col("sy"))) / F.col("n"))
-    return m.select(*by, F.col("n").cast("bigint").alias("pairs"), a.alias("a"), b.alias("b"), tx.alias("tx"), ty.alias("ty"), F.sqrt(a * a + b * b).alias("scale"), F.atan2(b, a).alias("rotation"), F.when(F.col("a").isNull(), "failed").otherwise("ok").alias("status"))
+    # what the pairs are off by: the spread of the targets less what the fit takes of it, all times n
+    left = F.col("n") * F.col("t") - F.col("ux") * F.col("ux") - F.col("uy") * F.col("uy") - (F.col("a") * F.col("a") + F.col("b") * F.col("b")) * F.col("den")
+    rms = F.when(F.col("a").isNotNull(), F.sqrt(F.greatest(left, F.lit(0.0))) / F.col("n"))
+    return m.select(*by, F.col("n").cast("bigint").alias("pairs"), rms.alias("rms"), a.alias("a"), b.alias("b"), tx.alias("tx"), ty.alias("ty"), F.sqrt(a * a + b * b).alias("scale"), F.atan2(b, a).alias("rotation"), F.when(F.col("a").isNull(), "failed").otherwise("ok").alias("status"))
 
 
 def votes(moving: DataFrame, ref: DataFrame, by: list[str], tolerance: float, reach: float) -> DataFrame:
@@ -65,6 +68,52 @@ def mutual_neighbours(moving: DataFrame, ref: DataFrame, by: list[str], toleranc
     return d.withColumns({"_a": a, "_b": b}).filter((F.col("_a") == 1) & (F.col("_b") == 1) & (F.col("d2") <= tolerance * tolerance)).drop("_a", "_b")
 
 
+def refined_shift(moving: DataFrame, ref: DataFrame, shifts: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """Each group's shift (dx, dy) becomes the mean offset of the pairs that are mutual neighbours under it; rms is their spread about it,
+    null without pairs, when the shift stays. Places are whole numbers, so the sums are exact."""
+    m = moving.join(shifts.select(*by, "dx", "dy"), by).select(*by, "id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    # offsets beyond the shift
+    ex, ey = (F.col("rx") - F.col("mx")), (F.col("ry") - F.col("my"))
+    n = F.count("*").cast("double")
+    s = mutual_neighbours(m, ref, by, tolerance).groupBy(*by).agg(n.alias("n"), F.sum(ex).cast("double").alias("sx"), F.sum(ey).cast("double").alias("sy"), F.sum(ex * ex + ey * ey).cast("double").alias("ss"))
+    mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    out = shifts.select(*by, "dx", "dy").join(s, by, "left")
+    return out.select(*by, (F.col("dx") + F.coalesce(mx, F.lit(0.0))).alias("dx"), (F.col("dy") + F.coalesce(my, F.lit(0.0))).alias("dy"), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("inliers"), F.when(F.col("n") > 0, F.sqrt(F.greatest(F.col("ss") / F.col("n") - mx * mx - my * my, F.lit(0.0)))).alias("rms"))
+
+
+def nearest_inliers(moving: DataFrame, ref: DataFrame, solutions: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """solutions (by, a, b, tx, ty): moving stars that fall within tolerance of a star of ref (x, y; one catalogue for all groups), and
+    the rms of their nearest distances; several may fall on one star. Stars meet by cell of the tolerance and its neighbours."""
+    side = max(tolerance, 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    x, y = F.col("a") * F.col("x") - F.col("b") * F.col("y") + F.col("tx"), F.col("b") * F.col("x") + F.col("a") * F.col("y") + F.col("ty")
+    m = moving.join(solutions.select(*by, "a", "b", "tx", "ty"), by).select(*by, "id", x.alias("px"), y.alias("py"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    m = m.withColumns({"_i": cell("px"), "_j": cell("py")})
+    r = ref.select(F.col("x").alias("rx"), F.col("y").alias("ry")).distinct().withColumns({"_ci": cell("rx"), "_cj": cell("ry")}).withColumn("s", F.explode(around))
+    r = r.select("rx", "ry", (F.col("_ci") + F.col("s.i")).alias("_i"), (F.col("_cj") + F.col("s.j")).alias("_j"))
+    d2 = (F.col("px") - F.col("rx")) ** 2 + (F.col("py") - F.col("ry")) ** 2
+    near = m.join(r, ["_i", "_j"]).withColumn("d2", d2).filter(F.col("d2") <= tolerance * tolerance).groupBy(*by, "id").agg(F.min("d2").alias("d2"))
+    found = near.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg("d2")).alias("rms"))
+    return solutions.select(*by).join(found, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("inliers"), "rms")
+
+
+def solution_reasons(m: Column, model: Column, status: Column, inliers: Column, rms: Column, min_inliers: int, max_rms: float, needs_stars: Column) -> Column:
+    """Why a solution (m: nine numbers by rows) isn't accepted, in order; none if it is."""
+    at = lambda i: F.get(m, F.lit(i)).cast("double")
+    shaped = F.coalesce(F.size(m) == 9, F.lit(False))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    whole = shaped & ~F.exists(m, lambda x: bad(x.cast("double")))
+    affine = whole & model.isin("translation", "similarity", "affine")
+    det = at(0) * at(4) - at(1) * at(3)
+    tests = [
+        (F.coalesce(~status.isin("ok", "reference"), F.lit(True)), F.concat(F.lit("status:"), F.coalesce(status, F.lit("none")))), (~shaped, F.lit("shape")), (shaped & ~whole, F.lit("non_finite")),
+        (whole & (F.abs(at(8)) <= 1e-12), F.lit("homogeneous_scale")), (affine & ((F.abs(at(6)) > 1e-6) | (F.abs(at(7)) > 1e-6) | (F.abs(at(8) - 1) > 1.1e-5)), F.lit("projective_row")),
+        (affine & (F.abs(det) <= 1e-10), F.lit("singular")), ((status == "ok") & needs_stars & (inliers < min_inliers), F.lit("inliers")), ((status == "ok") & (bad(rms) | (rms > max_rms)), F.lit("rms")),
+    ]
+    return F.array_compact(F.array(*[F.when(test, name) for test, name in tests]))
+
+
 def matrix_metrics(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     """Of [[a, b], [c, d]]: scales, rotation in degrees, determinant."""
     return {"scale_x": F.sqrt(a * a + c * c), "scale_y": F.sqrt(b * b + d * d), "rotation_deg": F.degrees(F.atan2(c, a)), "det": a * d - b * c}

@@ -309,14 +309,6 @@ def subset_semi_join(spark, sf):
     return matching.subset(f, f.filter("frame_type = 'light' and filter = 'BUILDING' and exposure = 3"), 2, SENSOR)
 
 
-@query("WITH f AS (SELECT page_id AS frame_id, 'a/' || CAST(page_id % 50 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '.fits' AS path FROM pages), s AS (SELECT page_id AS sidecar_id, CASE page_id % 3 WHEN 0 THEN 'b/' || CAST(page_id AS VARCHAR) || '.fits' ELSE 'x/none' || CAST(page_id AS VARCHAR) END AS path FROM pages) SELECT sidecar_id, CASE WHEN sidecar_id % 3 = 0 THEN CAST(sidecar_id AS VARCHAR) END AS frame_id, CASE WHEN sidecar_id % 3 = 0 THEN 'bound' ELSE 'unmatched' END AS status FROM s")
-def bind_sidecars(spark, sf):
-    p, n = table(spark, sf, "pages"), F.col("page_id").cast("string")
-    f = p.select(n.alias("frame_id"), F.concat(F.lit("a/"), (F.col("page_id") % 50).cast("string"), F.lit("/"), n, F.lit(".fits")).alias("path"))
-    s = p.select(F.col("page_id").alias("sidecar_id"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("b/"), n, F.lit(".fits"))).otherwise(F.concat(F.lit("x/none"), n)).alias("path"))
-    return matching.bind_sidecars(f, s, meta.path_keys)
-
-
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 QUAL_SQL = f"""{BG}, qs AS (SELECT frame AS frame_id, filt, count(*) FILTER (v > median + 1.5 * noise) AS star_count, max(v) AS peak, any_value(median) AS median, any_value(noise) AS noise, count(*) AS pixels, CAST(count(*) FILTER (v >= 250000) AS DOUBLE) / count(*) AS saturation FROM images JOIN nz USING (frame) GROUP BY frame, filt),
@@ -570,14 +562,15 @@ def ncc_shift_search(spark, sf):
 
 SIM_SQL = """pr AS (SELECT l_suppkey AS g, l_linenumber * 1000 + l_partkey % 997 AS mx, l_partkey % 1009 AS my, l_orderkey % 991 AS rx, CAST(l_quantity AS BIGINT) * 17 AS ry FROM lineitem),
 s AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, CAST(sum(mx) AS DOUBLE) AS sx, CAST(sum(my) AS DOUBLE) AS sy, CAST(sum(rx) AS DOUBLE) AS ux, CAST(sum(ry) AS DOUBLE) AS uy, CAST(sum(mx * mx + my * my) AS DOUBLE) AS q, CAST(sum(mx * rx + my * ry) AS DOUBLE) AS p, CAST(sum(mx * ry - my * rx) AS DOUBLE) AS c FROM pr GROUP BY g),
-f AS (SELECT *, (n * p - sx * ux - sy * uy) / (n * q - sx * sx - sy * sy) AS a, (n * c - sx * uy + sy * ux) / (n * q - sx * sx - sy * sy) AS b FROM s)"""
+f AS (SELECT *, (n * p - sx * ux - sy * uy) / (n * q - sx * sx - sy * sy) AS a, (n * c - sx * uy + sy * ux) / (n * q - sx * sx - sy * sy) AS b FROM s),
+e AS (SELECT g, sqrt(avg((a * mx - b * my + (ux - (a * sx - b * sy)) / n - rx) ** 2 + (b * mx + a * my + (uy - (b * sx + a * sy)) / n - ry) ** 2)) AS rms FROM pr JOIN f USING (g) GROUP BY g)"""
 
 
-@query(f"WITH {SIM_SQL} SELECT g, CAST(n AS BIGINT) AS pairs, round(a, 8) AS a, round(b, 8) AS b, round((ux - (a * sx - b * sy)) / n, 4) AS tx, round((uy - (b * sx + a * sy)) / n, 4) AS ty, round(sqrt(a * a + b * b), 8) AS scale, 'ok' AS status FROM f")
+@query(f"WITH {SIM_SQL} SELECT g, CAST(n AS BIGINT) AS pairs, round(a, 8) AS a, round(b, 8) AS b, round((ux - (a * sx - b * sy)) / n, 4) AS tx, round((uy - (b * sx + a * sy)) / n, 4) AS ty, round(sqrt(a * a + b * b), 8) AS scale, round(rms, 3) AS rms, 'ok' AS status FROM f JOIN e USING (g)")
 def similarity_moments(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 997).cast("bigint").alias("mx"), (F.col("l_partkey") % 1009).alias("my"), (F.col("l_orderkey") % 991).alias("rx"), (F.col("l_quantity").cast("bigint") * 17).alias("ry"))
     s = register.similarity(li, ["g"]).drop("rotation")
-    return rounded(rounded(s, "a", "b", "scale", digits=8), "tx", "ty", digits=4)
+    return rounded(rounded(rounded(s, "a", "b", "scale", digits=8), "tx", "ty", digits=4), "rms", digits=3)
 
 
 CAT_SQL = f"{MAX_SQL}, cat AS (SELECT frame, y * 8 + x AS id, y, x FROM mx), rc AS (SELECT id, y, x FROM cat WHERE frame = 0)"

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from siderea.plans import contracts, more, rules, run, verify  # noqa: F401  (they register their queries)
+from siderea.plans import contracts, more, reports, rules, run, verify  # noqa: F401  (they register their queries)
 from siderea.plans import queries as Q
 
 
