@@ -85,7 +85,7 @@ def transformed(v: Column, scale: float | None = None, offset: float | None = No
     return out if high is None else F.least(out, F.lit(float(high)))
 
 
-def flag_counts(maps: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+def named_flag_counts(maps: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
     """maps (by, dq): pixels by flag name, in one scan; valid counts those without any bit. Names are taken in lower case and once each; a
     name that isn't a flag's counts nothing and is marked unknown."""
     names = list(dict.fromkeys(f.lower() for f in flags))

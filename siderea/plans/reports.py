@@ -142,7 +142,7 @@ def frame_counts(spark, sf):
 @query(f"WITH {SAMPLES_SQL}, u AS (SELECT filt, dq, unnest(['valid', 'saturated', 'hot_pixel', 'no_such_flag']) AS flag FROM samples) SELECT filt, flag, CAST(count(*) FILTER (CASE flag WHEN 'valid' THEN dq = 0 WHEN 'saturated' THEN dq & 2 <> 0 WHEN 'hot_pixel' THEN dq & 4 <> 0 ELSE false END) AS BIGINT) AS n FROM u GROUP BY filt, flag")
 def merged_flag_counts(spark, sf):
     s = samples(spark, sf)
-    parts = [masks.flag_counts(s.filter(F.col("px") % 3 == i), ["filt"], ["valid", "Saturated", "hot_pixel", "no_such_flag", "valid"]) for i in range(3)]
+    parts = [masks.named_flag_counts(s.filter(F.col("px") % 3 == i), ["filt"], ["valid", "Saturated", "hot_pixel", "no_such_flag", "valid"]) for i in range(3)]
     return masks.merged_counts(parts, ["filt"])
 
 
