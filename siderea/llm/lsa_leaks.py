@@ -3,7 +3,7 @@
 Words are lower-cased and stripped of what is neither letter nor digit. Documents become arrays of the numbers of those words that
 occur in the benchmark (others cannot match), once, written to the shared folder. Document frequencies over all documents
 give each word its weight. A randomised singular value decomposition of TF-IDF passages, run in Spark passes over
-a bounded sample of passages (FIT_PASSAGES, by hash) and all items, gives each word a place in a latent space.
+all passages of all documents and all items, gives each word a place in a latent space.
 
 Every document is then searched whole: a passage is a run of blocks of BLOCK words, as long as an item plus BLOCK words, starting at
 every block, so each occurrence lies whole in some passage. Passages whose weight can't reach MATCH of an item's are skipped (they
@@ -13,7 +13,7 @@ there too (ANSWER of its words are in the subsequence's passage, in order) or ne
 an item in one task, so nothing is shuffled and common passages make no groups.
 
 The benchmark is read whole by the driver. Tasks get it in blocks of items of at most MOST_ITEM_WORDS words (a longer item is a block of
-its own), one search of all encoded documents for each block, each with a latent space of its own. Items with fewer than LEAST_WORDS
+its own), one fit and search of all encoded documents for each block, each with a latent space of its own. Items with fewer than LEAST_WORDS
 words have no subsequence to speak of: those of LEAST_CHARS letters and digits or more (a sentence in a script without spaces is one
 word) are searched as exact runs of whole words; shorter ones can't be told from chance and are not searched. Null texts hold nothing.
 Rows that repeat an id or a text are answered one by one. Null ids are kept. Other columns are not read.
@@ -41,8 +41,12 @@ ANSWER = 0.5
 SURE = 0.8
 LEAST_WORDS = 5
 LEAST_CHARS = 20  # of an item with fewer words than that
-FIT_PASSAGES = 50_000
-PASSAGE = 64  # words of a passage of the sample
+PASSAGE = 64  # words of a passage that the space is fitted on
+FIT_WORDS = 500_000  # of documents cut at once
+FIT_CHUNK = 256  # passages multiplied at once: they fit a core's cache
+DENSE = 170  # words that one passage in so many holds are multiplied as dense columns, where that is faster
+FIT_TASKS = 64  # each sends a matrix of vocabulary by rank
+FIT_ROWS = 1024  # of such a matrix in one record
 MOST_ITEM_WORDS = 50_000  # the driver sums matrices of so many rows at most
 _BREAKS = bytes.maketrans(SPACE, b" " * len(SPACE))
 _MARKS = re.compile(r"[\W_]+")
@@ -181,45 +185,95 @@ def taken_passages(words: DataFrame, sample: int) -> DataFrame:
     return save(words.select("w", F.xxhash64("doc_id", "w").alias("seed")).mapInArrow(cut, "p binary"), "passages")
 
 
-def latent(words: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, rounds: int = 2, sample: int = FIT_PASSAGES, seed: int = 11) -> np.ndarray:
-    """A row for each word: its place, weight included. Randomised subspace iteration: each round multiplies the basis by the
-    passages' Gram matrix, a sum over at most 8 tasks (each gives a matrix of vocabulary by rank, which the driver adds up one by one)."""
-    size, rank = len(idf), min(rank, len(items.words), len(idf))
-    taken = taken_passages(words, sample).coalesce(8)
-    rnd = np.random.default_rng(seed)
-    basis = np.linalg.qr(rnd.normal(size=(size, rank)))[0]
-    spark = words.sparkSession
+def passages(ws: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The known words of all passages of these documents, and the number of each one's passage, ascending."""
+    n = np.array([len(w) for w in ws], np.int64)
+    parts = -(-n // PASSAGE)
+    of = np.repeat(np.cumsum(parts) - parts, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) // PASSAGE
+    flat = np.concatenate(ws)
+    return of[flat >= 0], flat[flat >= 0]
 
-    def gram(ps: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(basis)
-        step = max(1, 2_000_000 // size)
-        for i in range(0, len(ps), step):
-            some = ps[i : i + step]
-            which = np.repeat(np.arange(len(some)), [len(p) for p in some])
-            flat = np.concatenate(some)
-            a = np.zeros((len(some), size), np.float32)  # a few hundred passages by the vocabulary
-            np.add.at(a, (which, flat), idf[flat].astype(np.float32))
-            a /= np.maximum(np.sqrt((a * a).sum(axis=1, keepdims=True)), 1e-9)
-            out += a.T @ (a @ basis.astype(np.float32))
+
+def gram(of: np.ndarray, flat: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis, where A holds the TF-IDF of each passage as a row of unit length: frequent words as a dense part, the others as a sparse one."""
+    out = np.zeros(basis.shape)
+    if not len(flat):
         return out
+    key, n = np.unique(of * len(idf) + flat, return_counts=True)
+    of, flat = np.divmod(key, len(idf))
+    new = np.diff(of, prepend=-1) > 0
+    row, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    x = n * idf[flat]
+    x = (x / np.sqrt(np.add.reduceat(x * x, starts))[row]).astype(np.float32)
+    often = np.flatnonzero(np.bincount(flat) * DENSE > len(starts))
+    column = np.full(len(idf), -1)
+    column[often] = np.arange(len(often))
+    column, basis = column[flat], basis.astype(np.float32, copy=False)
+    top, top_out = basis[often], np.zeros((len(often), basis.shape[1]))
+    bounds = np.append(starts[::FIT_CHUNK], len(x))
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        r, c, w, v = row[lo:hi] - row[lo], column[lo:hi], flat[lo:hi], x[lo:hi]
+        is_dense = c >= 0
+        a = np.zeros((r[-1] + 1, len(often)), np.float32)
+        a[r[is_dense], c[is_dense]] = v[is_dense]
+        y = a @ top
+        r, w, v = r[~is_dense], w[~is_dense], v[~is_dense, None]
+        if len(w):
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            y[r[first]] += np.add.reduceat(basis[w] * v, first, axis=0)
+            by = np.argsort(w)
+            first = np.flatnonzero(np.diff(w[by], prepend=-1))
+            out[w[by][first]] += np.add.reduceat(y[r[by]] * v[by], first, axis=0)
+        top_out += a.T @ y
+    out[often] += top_out
+    return out
 
+
+def corpus_gram(words: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """gram of all passages of all documents: at most FIT_TASKS tasks sum theirs, and the sums are added up by blocks of rows."""
+    sent = words.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, basis = sent.value
+        out = np.zeros(basis.shape)
+        for b in batches:
+            ws, size = [], 0
+            for w in _arrays(b.column("w")):
+                ws.append(w)
+                size += len(w)
+                if size > FIT_WORDS:
+                    out += gram(*passages(ws), idf, basis)
+                    ws, size = [], 0
+            if ws:
+                out += gram(*passages(ws), idf, basis)
+        at = list(range(0, len(out), FIT_ROWS)) if out.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([out[i : i + FIT_ROWS].astype("<f4").tobytes() for i in at], pa.binary())], ["at", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, m in zip(b.column("at").to_pylist(), b.column("m").to_pylist(), strict=True):
+                total[at] = total.get(at, 0.0) + np.frombuffer(m, "<f4").astype("<f8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["at", "m"])
+
+    out = np.zeros(basis.shape)
+    got = words.select("w").coalesce(FIT_TASKS).mapInArrow(run, "at int, m binary").repartition("at").mapInArrow(add, "at int, m binary").toArrow()
+    sent.destroy()
+    for at, m in zip(got["at"].to_pylist(), got["m"].to_pylist(), strict=True):
+        out[at : at + FIT_ROWS] = np.frombuffer(m, "<f8").reshape(-1, basis.shape[1])
+    return out
+
+
+def latent(words: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 11) -> np.ndarray:
+    """A row for each word: its place, weight included. Randomised subspace iteration: each round multiplies the basis by the
+    passages' Gram matrix, a sum over all of them."""
+    rank = min(rank, len(items.words), len(idf))
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), rank)))[0]
+    of, flat = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words]), np.concatenate(items.words)
     small = np.zeros((rank, rank))
     for r in range(rounds + 1):
-        sent = spark.sparkContext.broadcast(basis)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(sent.value)
-            for b in batches:
-                ps = [p for p in _arrays(b.column("p")) if len(p)]
-                if ps:
-                    out += gram(ps, sent.value)
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f4").tobytes()], pa.binary())], ["m"])
-
-        corpus, own = np.zeros_like(basis), gram(items.words, basis)
-        for x in taken.mapInArrow(run, "m binary").toLocalIterator():
-            corpus += np.frombuffer(x.m, "<f4").reshape(basis.shape)
-        sent.destroy()
-        # items weigh as much as the sample, so that each has a place even where no passage of the sample resembles it
+        corpus, own = corpus_gram(words, idf, basis), gram(of, flat, idf, basis)
+        # items weigh as much as the corpus, so that each has a place even where no passage resembles it
         total = corpus * (np.linalg.norm(own) / max(np.linalg.norm(corpus), 1e-12)) + own
         if r < rounds:
             basis = np.linalg.qr(total)[0]

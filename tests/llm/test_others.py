@@ -410,6 +410,44 @@ def test_leaks_of_short_items(spark):
     assert sorted((r.doc_id, r.item_id, r.matched, r.start) for r in got) == [(10, 1, 1.0, 1), (12, 3, 1.0, 1)]
 
 
+def plain_places(docs, items, idf, rank=lsa_leaks.RANK):
+    """The latent space of all passages of docs (arrays of numbers of words) and of all items, by one dense matrix."""
+    rows = [p[p >= 0] for w in docs for p in (w[i : i + lsa_leaks.PASSAGE] for i in range(0, len(w), lsa_leaks.PASSAGE))]
+
+    def gram(rows):
+        a = np.array([np.bincount(p, minlength=len(idf)) * idf for p in rows if len(p)])
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        return a.T @ a
+
+    corpus, own = gram(rows), gram(items.words)
+    basis = np.linalg.qr(np.random.default_rng(11).normal(size=(len(idf), min(rank, len(items.words), len(idf)))))[0]
+    for r in range(3):
+        c, o = corpus @ basis, own @ basis
+        total = c * (np.linalg.norm(o) / np.linalg.norm(c)) + o
+        if r < 2:
+            basis = np.linalg.qr(total)[0]
+    small = basis.T @ total
+    return basis @ np.linalg.eigh((small + small.T) / 2)[1] * idf[:, None]
+
+
+def same_space(a, b):
+    """Equal inner products: bases may differ by signs."""
+    a, b = a.astype(float) @ a.T.astype(float), b @ b.T
+    return np.abs(a - b).max() < 1e-4 * np.abs(b).max()
+
+
+def test_fit_on_all_passages(spark):
+    """100,013 passages, more than a bounded sample would hold; the last ones are of texts whose end is no whole passage."""
+    rnd = np.random.default_rng(51)
+    items = lsa_leaks.Items([(k, " ".join(f"v{x}" for x in rnd.integers(0, 60, 12))) for k in range(25)])
+    idf = rnd.uniform(0.5, 4, len(items.vocabulary))
+    docs = [np.where(rnd.random(6400) < 0.08, (rnd.integers(0, 20, 6400) + d // 20) % len(idf), -1).astype("<i4") for d in range(1000)]
+    docs += [np.array([3] * 65, "<i4"), np.arange(11, dtype="<i4"), np.array([], "<i4"), np.array([-1] * 640, "<i4")]
+    words = spark.createDataFrame([(d, w.tobytes()) for d, w in enumerate(docs)], "doc_id long, w binary")
+    assert same_space(lsa_leaks.latent(words, items, idf), plain_places(docs, items, idf))
+    assert np.isfinite(lsa_leaks.latent(words.limit(0), items, idf)).all()
+
+
 def test_sample_of_passages(spark):
     rows = [(i, np.full(640, 3, "<i4").tobytes()) for i in range(2000)]
     words = spark.createDataFrame(rows, "doc_id long, w binary")
