@@ -167,7 +167,8 @@ def _passages(w: np.ndarray) -> list[np.ndarray]:
 
 
 def taken_passages(words: DataFrame, sample: int) -> DataFrame:
-    """p: passages of at least two known words, about `sample` of all, by a 64-bit hash of document and place."""
+    """p: passages of at least two known words, about `sample` of all, by a 64-bit hash of document and place. For looking at a
+    corpus only: neither leaks() nor a stage of the pipeline calls it, and latent() takes all passages."""
     total = words.agg(F.sum(F.expr(f"ceil(length(w) / {4 * PASSAGE})")).alias("n")).collect()[0].n or 0
     least = np.uint64(min((1 << 64) - 1, int(sample / max(total, 1) * (1 << 64))))
 

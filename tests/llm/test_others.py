@@ -502,6 +502,26 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert out.count() > 0 and {"doc_id", "taken"} <= set(out.columns)
 
 
+def test_pipeline_fits_leaks_on_all_passages(spark, tmp_path, monkeypatch):
+    """The stage's latent space is that of all 80,000 passages, and its weights count all documents."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(52)
+    vocab = [f"v{x}" for x in range(60)]
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(12))) for k in range(25)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(rnd.choice(vocab[d // 20 % 40 :][:20]) if rnd.random() < 0.05 else "z" for _ in range(6400)) for d in range(800)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(texts)], DOC)
+    fits, latent = [], lsa_leaks.latent
+    monkeypatch.setattr(lsa_leaks, "latent", lambda words, items, idf: fits.append((items, idf, latent(words, items, idf))) or fits[-1][2])
+    assert dict(cp.STAGES)["leaks"](spark, docs, str(tmp_path)).count() == 800
+    [(found, idf, place)] = fits
+    numbers = [lsa_leaks.numbers(t.encode(), lsa_leaks.Numbers(found.vocabulary)) for t in texts]
+    held = np.bincount(np.concatenate([np.unique(w[w >= 0]) for w in numbers]), minlength=len(idf))
+    assert idf == pytest.approx(np.log(802 / (held + 1)).clip(0.05))
+    assert same_space(place, plain_places(numbers, found, idf))
+
+
 def test_pipeline_edges(spark, sf):
     import corpus_pipeline as cp
 
