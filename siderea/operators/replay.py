@@ -5,9 +5,12 @@ A replay shuffles on the pixel, as a stack does; what follows are partial aggreg
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siderea.operators import whole
 from siderea.operators.compare import ratio
 from siderea.operators.stack import usable_weight
 
@@ -178,25 +181,67 @@ def _grid(at: Column, radius: float, step: float) -> Column:
     return F.array(*[at - radius + i * step for i in range(n)])
 
 
-def _scored(images: DataFrame, reference: DataFrame, matrices: DataFrame, by: list[str], ref: list[str], gx: Column, gy: Column, stride: int, width: int, height: int) -> DataFrame:
-    """The best offset (dx, dy) of each matrix: least rms, then highest correlation, then first in order. A reference pixel meets the frames
-    that are registered to it; each candidate reads four pixels of its frame."""
-    near = matrices.select(*by, *ref, *[F.col(m).cast("double").alias(m) for m in MATRIX], gx.alias("gx"), gy.alias("gy"))
-    near = near.withColumn("dx", F.explode("gx")).withColumn("dy", F.explode("gy")).drop("gx", "gy")
-    sampled = reference.filter((F.col("y") % stride == 0) & (F.col("x") % stride == 0)).select(*ref, F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("v").cast("double").alias("r"))
-    d = near.join(sampled, ref)
-    u, w = F.col("rx") - F.col("m02") - F.col("dx"), F.col("ry") - F.col("m12") - F.col("dy")
-    det = F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10")
-    d = d.filter(F.abs(det) > 1e-12).withColumns({"sx": (F.col("m11") * u - F.col("m01") * w) / det, "sy": (F.col("m00") * w - F.col("m10") * u) / det})
-    d = d.filter(F.col("sx").between(0, width - 1) & F.col("sy").between(0, height - 1)).withColumns({"kx": F.floor("sx").cast("int"), "ky": F.floor("sy").cast("int")})
-    taps = F.array(*[F.struct(F.least(F.col("ky") + a, F.lit(height - 1)).alias("y"), F.least(F.col("kx") + b, F.lit(width - 1)).alias("x"), ((1 - F.abs(F.col("sy") - F.col("ky") - a)) * (1 - F.abs(F.col("sx") - F.col("kx") - b))).alias("g")) for a in (0, 1) for b in (0, 1)])
-    t = d.select(*by, "dx", "dy", "ry", "rx", "r", F.explode(taps).alias("t")).filter("t.g > 0").select(*by, "dx", "dy", "ry", "rx", "r", "t.y", "t.x", "t.g")
-    px = t.join(images.select(*by, "y", "x", F.col("v").cast("double").alias("v")), [*by, "y", "x"])
-    px = px.groupBy(*by, "dx", "dy", "ry", "rx").agg(F.first("r").alias("r"), F.sum(F.col("v") * F.col("g")).alias("c"))
-    e = F.col("c") - F.col("r")
-    s = px.groupBy(*by, "dx", "dy").agg(F.count("*").alias("pixels"), F.round(F.sqrt(F.avg(e * e)), 3).alias("rms"), F.round(F.corr("c", "r"), 6).alias("ncc"))
-    best = Window.partitionBy(*by).orderBy(F.asc_nulls_last("rms"), F.desc_nulls_last("ncc"), "dx", "dy")
-    return s.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
+def _scored(rows: DataFrame, gx: Column, gy: Column, stride: int, width: int, height: int) -> DataFrame:
+    """rows (MATRIX, pixels, _reference) gain _best: the best offset (dx, dy), by least rms, then highest correlation, then first in order; null
+    where no candidate meets a pixel. Each candidate reads four pixels of its frame for a pixel of the reference."""
+
+    def score(it):
+        for b in it:
+            m = [b.column(c).to_numpy(zero_copy_only=False)[:, None, None] for c in MATRIX]
+            gx, gy = (np.stack(b.column(c).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 0)) for c in ("_gx", "_gy"))
+            dx, dy = np.repeat(gx, gy.shape[1], axis=1), np.tile(gy, (1, gx.shape[1]))
+            y0, x0, h, w = whole.extent(b.column("_reference"))
+            r, here, r_ok = whole.canvas(b.column("_reference"), y0, x0, h, w)
+            on = np.flatnonzero(here.any(axis=0))
+            ry, rx = on // max(w, 1) + y0, on % max(w, 1) + x0
+            sampled = (ry % stride == 0) & (rx % stride == 0)
+            on, ry, rx = on[sampled], ry[sampled], rx[sampled]
+            r, here, r_ok = (a[:, on] for a in (r.astype(float), here, r_ok))
+            v, there, ok = whole.canvas(b.column("pixels"), 0, 0, height, width)
+            # a pixel that isn't there weighs nothing; the last place of an image stands for those outside
+            v, there, ok = (np.pad(a, ((0, 0), (0, 1))) for a in (v.astype(float), there, ok))
+            gaps = not (there[:, :-1].all() and ok[:, :-1].all())
+            n, rms, ncc = np.zeros(dx.shape, np.int64), np.full(dx.shape, np.nan), np.full(dx.shape, np.nan)
+            for s in whole.parts(len(v), dx.shape[1] * len(on)):
+                m00, m01, m02, m10, m11, m12 = (a[s] for a in m)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    u, t = rx - m02 - dx[s, :, None], ry - m12 - dy[s, :, None]
+                    det = m00 * m11 - m01 * m10
+                    sx, sy = (m11 * u - m01 * t) / det, (m00 * t - m10 * u) / det
+                    inside = (np.abs(det) > 1e-12) & here[s, None, :] & (sx >= 0) & (sx <= width - 1) & (sy >= 0) & (sy <= height - 1)
+                sx, sy = np.where(inside, sx, 0), np.where(inside, sy, 0)
+                kx, ky = np.floor(sx), np.floor(sy)
+                fx, fy = sx - kx, sy - ky
+                base = (np.arange(len(u)) * v.shape[1])[:, None, None]
+                c, any_, any_ok = np.zeros(sx.shape), inside if not gaps else np.zeros(sx.shape, bool), inside if not gaps else np.zeros(sx.shape, bool)
+                for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                    g = (1 - np.abs(fy - i)) * (1 - np.abs(fx - j))
+                    at = base + (np.minimum(ky + i, height - 1) * width + np.minimum(kx + j, width - 1)).astype(np.int64)
+                    c += np.where(g > 0, g * v[s].reshape(-1)[at], 0)
+                    if gaps:
+                        any_, any_ok = any_ | (inside & (g > 0) & there[s].reshape(-1)[at]), any_ok | (inside & (g > 0) & ok[s].reshape(-1)[at])
+                both = any_ok & r_ok[s, None, :]
+                n[s] = any_.sum(axis=2)
+                q, rr = both.sum(axis=2), np.broadcast_to(r[s, None, :], c.shape)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    rms[s] = np.sqrt((np.where(both, c - rr, 0) ** 2).sum(axis=2) / q)
+                    dc, dr = (np.where(both, a - np.where(both, a, 0).sum(axis=2, keepdims=True) / q[:, :, None], 0) for a in (c, rr))
+                    p = (dc * dr).sum(axis=2) / np.sqrt((dc * dc).sum(axis=2) * (dr * dr).sum(axis=2))
+                    level = np.logical_or.reduce([np.where(both, a, -np.inf).max(axis=2) == np.where(both, a, np.inf).min(axis=2) for a in (c, rr)]) if len(on) else True
+                ncc[s] = np.where(level, np.nan, p)
+            kept = n > 0
+            number = lambda a: pa.array(a[kept], mask=np.isnan(a[kept]))
+            ends = pa.array(np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32))
+            yield whole.added(b, "_scores", pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(dx[kept]), pa.array(dy[kept]), pa.array(n[kept]), number(rms), number(ncc)], names=["dx", "dy", "pixels", "rms", "ncc"])))
+
+    rows = rows.withColumns({"_gx": gx, "_gy": gy})
+    scored = rows.mapInArrow(score, whole.fields(rows, rows.columns) + "_scores array<struct<dx: double, dy: double, pixels: bigint, rms: double, ncc: double>>")
+
+    def order(s: Column) -> Column:
+        rms, ncc = F.round(s["rms"], 3), F.round(s["ncc"], 6)
+        return F.struct(rms.isNull().alias("a"), rms.alias("rms"), ncc.isNull().alias("b"), (-ncc).alias("c"), s["dx"].alias("dx"), s["dy"].alias("dy"), s["pixels"].alias("pixels"), ncc.alias("ncc"))
+
+    return scored.withColumn("_best", F.array_min(F.transform("_scores", order))).drop("_scores", "_gx", "_gy")
 
 
 #: Columns of a matrix from a frame to its reference.
@@ -205,13 +250,17 @@ MATRIX = ("m00", "m01", "m02", "m10", "m11", "m12")
 
 def refine(images: DataFrame, reference: DataFrame, matrices: DataFrame, by: list[str], ref: list[str], width: int, height: int, radius: float = 1.0, coarse: float = 0.25, fine_radius: float = 0.25, fine: float = 0.0625, coarse_stride: int = 4, final_stride: int = 1) -> DataFrame:
     """Corrections of the shifts of matrices (by, ref, MATRIX), several seeds to a frame if `by` names them: a coarse grid on sampled pixels,
-    then a fine one around its best. images (by, y, x, v) against reference (ref, y, x, v); rms rounded to 3 digits, so that equals are equal."""
+    then a fine one around its best. images (those of by that they have, y, x, v) against reference (ref, y, x, v); rms rounded to 3 digits, so that equals are equal."""
+    own = [c for c in by if c in images.columns]
+    m = matrices.select(*by, *ref, *[F.col(c).cast("double").alias(c) for c in MATRIX])
+    at = whole.gather(reference, ref).select(*ref, F.col("pixels").alias("_reference"))
+    rows = whole.gather(images, own).join(m, own).join(F.broadcast(at), ref).drop(*[c for c in ref if c not in by])  # one image for each key of ref
     zero = F.lit(0.0)
-    first = _scored(images, reference, matrices, by, ref, _grid(zero, radius, coarse), _grid(zero, radius, coarse), coarse_stride, width, height)
-    near = matrices.join(first.select(*by, F.col("dx").alias("_x"), F.col("dy").alias("_y")), by)
-    if fine_radius <= 0:
-        return first
-    return _scored(images, reference, near, by, ref, _grid(F.col("_x"), fine_radius, fine), _grid(F.col("_y"), fine_radius, fine), final_stride, width, height)
+    rows = _scored(rows, _grid(zero, radius, coarse), _grid(zero, radius, coarse), coarse_stride, width, height)
+    if fine_radius > 0:
+        rows = rows.filter("_best is not null").select(*by, *MATRIX, "pixels", "_reference", F.col("_best.dx").alias("_x"), F.col("_best.dy").alias("_y"))
+        rows = _scored(rows, _grid(F.col("_x"), fine_radius, fine), _grid(F.col("_y"), fine_radius, fine), final_stride, width, height)
+    return rows.filter("_best is not null").select(*by, *[F.col(f"_best.{c}").alias(c) for c in ("dx", "dy", "pixels", "rms", "ncc")])
 
 
 def to_source_pixels(matrix: list[Column], scale: Column) -> list[Column]:

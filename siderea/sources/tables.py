@@ -29,6 +29,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame", "filt", F.expr("cast(pos div 8 as int)").alias("y"), F.expr("cast(pos % 8 as int)").alias("x"), F.round(F.col("e").cast("double") * 1000000).cast("bigint").alias("v"))
 
 
+def whole_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images in one row each: pixels is a list of (y, x, v). Nothing travels."""
+    cell = lambda e, i: F.struct(F.floor(i / 8).cast("int").alias("y"), (i % 8).alias("x"), F.round(e.cast("double") * 1000000).cast("bigint").alias("v"))
+    e = table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0)
+    return e.select(F.col("vec_id").alias("frame"), F.col("label").alias("filt"), F.transform("embedding", cell).alias("pixels"))
+
+
 #: The same relations for DuckDB, as common table expressions.
 SAMPLES_SQL = """samples AS (SELECT l_partkey AS px, l_suppkey AS frame, l_orderkey AS ord, l_linenumber AS line, CAST(round(l_extendedprice * 100) AS BIGINT) AS v,
   CAST(l_quantity AS BIGINT) AS w, l_returnflag AS filt, (CASE WHEN l_discount = 0.10 THEN 2 ELSE 0 END) | (CASE WHEN l_linestatus = 'O' AND l_tax = 0 THEN 4 ELSE 0 END) AS dq FROM lineitem)"""
