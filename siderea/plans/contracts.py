@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siderea.model import Rejection
-from siderea.operators import compare, ledger, register, stack
+from siderea.operators import compare, ledger, stack, whole
 from siderea.plans import queries as Q
 from siderea.plans.queries import IMAGES_SQL, ORACLE, PAIRS_SQL, SAMPLES_SQL, query, rounded
-from siderea.sources.tables import cents, images, samples, table
+from siderea.sources.tables import cents, samples, table, whole_images
 
 
 def count_deltas(a: DataFrame, b: DataFrame, px: list[str]) -> DataFrame:
@@ -96,23 +97,51 @@ def masked_frames(spark, sf):
 
 def subpixel_search(moving: DataFrame, reference: DataFrame, by: list[str], radius: int, step: float) -> DataFrame:
     """The fractional shift on a grid whose bilinearly sampled overlap correlates best with the reference."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    frames = moving.select(*by).distinct()
-    r = frames.crossJoin(F.broadcast(reference.select("y", "x", F.col("v").alias("r")))).withColumn("s", F.explode(steps))  # one image
-    sx, sy = F.col("x") - F.col("s.j") * step, F.col("y") - F.col("s.i") * step
-    ky, kx = F.floor(sy).cast("int"), F.floor(sx).cast("int")
-    taps = F.array(*[F.struct((ky + a).alias("ky"), (kx + b).alias("kx"), ((1 - F.abs(sy - (ky + a))) * (1 - F.abs(sx - (kx + b)))).alias("w")) for a in (0, 1) for b in (0, 1)])
-    t = r.select(*by, "y", "x", "r", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.explode(taps).alias("t")).select(*by, "y", "x", "r", "i", "j", "t.ky", "t.kx", "t.w").filter("w > 0")
-    m = moving.select(*by, F.col("y").alias("ky"), F.col("x").alias("kx"), F.col("v").alias("c"))
-    sampled = t.join(m, [*by, "ky", "kx"]).groupBy(*by, "i", "j", "y", "x").agg(F.first("r").alias("r"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("c")).alias("c")).filter("w > 0.999999")
-    score = register.pearson(sampled.withColumn("c", F.round("c").cast("bigint")), [*by, "i", "j"]).withColumn("ncc", F.round("r", 9))
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("ncc"), "i", "j")
-    return score.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(*by, (F.col("j") * step).alias("dx"), (F.col("i") * step).alias("dy"), "ncc")
+    side, plane = 2 * radius + 1, whole.plane(reference)
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
+
+    def score(it):
+        ry0, rx0, rh, rw = whole.extent(plane)
+        r, here, r_ok = whole.canvas(plane, ry0, rx0, rh, rw)
+        at = np.flatnonzero(here)
+        ry, rx, r, r_ok = at // max(rw, 1) + ry0, at % max(rw, 1) + rx0, whole.exact(r.ravel()[at]), r_ok.ravel()[at].astype(np.int64)
+        for b in it:
+            y0, x0, h, w = whole.extent(b.column("pixels"))
+            v, there, ok = whole.canvas(b.column("pixels"), y0, x0, h, w)
+            pairs, corr = np.zeros((len(v), len(steps)), np.int64), np.full((len(v), len(steps)), np.nan)
+            for k, (i, j) in enumerate(steps):
+                sy, sx = ry - i * step, rx - j * step
+                ky, kx = np.floor(sy), np.floor(sx)
+                taps = []
+                for dy, dx in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                    g, y, x = (1 - np.abs(sy - (ky + dy))) * (1 - np.abs(sx - (kx + dx))), ky + dy - y0, kx + dx - x0
+                    g = np.where((y >= 0) & (x >= 0) & (y < h) & (x < w), g, 0)
+                    taps.append((g, np.where(g > 0, y * w + x, 0).astype(np.int64)))
+                use = sum(g for g, _ in taps) > 0.999999  # others can't be whole in any image
+                taps, kr, kok = [(g[use], q[use]) for g, q in taps], r[use], r_ok[use]
+                if not use.any():
+                    continue
+                for s in whole.parts(len(v), len(kr)):
+                    a, t, o = v[s], there[s], ok[s]
+                    full = sum(g * t[:, q] for g, q in taps) > 0.999999
+                    c_ok = np.logical_or.reduce([(g > 0) & o[:, q] for g, q in taps]) & full
+                    c = sum(g * a[:, q] for g, q in taps)
+                    down = np.trunc(c)
+                    c = np.where(c_ok, down + np.where(np.abs(c - down) >= 0.5, np.sign(c), 0), 0).astype(np.int64)
+                    n, c = full.sum(axis=1), whole.exact(c)
+                    m = full.astype(r.dtype)
+                    p = whole.pearson(n, c.sum(axis=1), m @ kr, (c * c).sum(axis=1), m @ (kr * kr), c @ kr)
+                    pairs[s, k], corr[s, k] = n, np.where(c_ok.astype(np.int64) @ kok > 0, p, np.nan)
+            yield whole.added(b.select(by), "scores", whole.scores(pairs, corr))
+
+    found = whole.gather(moving.dropna(subset=by), by)
+    k = whole.best(found.mapInArrow(score, whole.fields(found, by) + whole.SCORES), by)
+    return k.select(*by, ((F.col("k") % side - radius) * step).alias("dx"), ((F.expr(f"k div {side}") - radius) * step).alias("dy"), "ncc")
 
 
 @query(f"WITH {IMAGES_SQL}, g AS (SELECT f.frame, y, x, v AS r, i, j, x - j * 0.5 AS sx, y - i * 0.5 AS sy FROM (SELECT DISTINCT frame FROM images) f, (SELECT y, x, v FROM images WHERE frame = 0) r, range(-1, 2) a(i), range(-1, 2) b(j)), t AS (SELECT g.*, CAST(floor(sy) AS INTEGER) + p AS ky, CAST(floor(sx) AS INTEGER) + q AS kx, (1 - abs(sy - (floor(sy) + p))) * (1 - abs(sx - (floor(sx) + q))) AS w FROM g, range(0, 2) c(p), range(0, 2) d(q)), s AS (SELECT t.frame, i, j, t.y, t.x, any_value(r) AS r, CAST(round(sum(w * v)) AS BIGINT) AS c FROM t JOIN images m ON m.frame = t.frame AND m.y = ky AND m.x = kx WHERE w > 0 GROUP BY t.frame, i, j, t.y, t.x HAVING sum(w) > 0.999999), q AS (SELECT frame, i, j, {Q.FIT} FROM s GROUP BY frame, i, j), n AS (SELECT frame, i, j, round((n * sxy - sx * sy) / (sqrt(greatest(n * sxx - sx * sx, 0)) * sqrt(greatest(n * syy - sy * sy, 0))), 9) AS ncc FROM q) SELECT frame, CAST(j * 0.5 AS DOUBLE) AS dx, CAST(i * 0.5 AS DOUBLE) AS dy, round(ncc, 6) AS ncc FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ncc DESC NULLS LAST, i, j) AS k FROM n) WHERE k = 1")
 def subpixel_ncc(spark, sf):
-    im = images(spark, sf)
+    im = whole_images(spark, sf)
     return rounded(subpixel_search(im, im.filter("frame = 0"), ["frame"], 1, 0.5), "ncc")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siderea.operators import replay
 from siderea.plans import queries as Q
-from siderea.plans import verify  # noqa: F401
+from siderea.plans import contracts, verify  # noqa: F401
 
 
 def exchanged(df):
@@ -34,6 +34,19 @@ def sampled(image, sy, sx, height=99, width=99):
     return sum(g for g, _ in taps), (sum(some) if some else None), bool(taps)
 
 
+def plain_best(pairs):
+    """The first key of the highest correlation to nine digits; pairs by key, in order."""
+    best = None
+    for key, p in pairs.items():
+        c, r = (np.array([q[i] for q in p], float) for i in (0, 1))
+        n = len(p)
+        below = math.sqrt(max(n * (c * c).sum() - c.sum() ** 2, 0)) * math.sqrt(max(n * (r * r).sum() - r.sum() ** 2, 0))
+        ncc = round((n * (c * r).sum() - c.sum() * r.sum()) / below, 9) if below else -math.inf
+        if best is None or ncc > best[1]:
+            best = (key, ncc)
+    return best
+
+
 def test_refinement_sends_no_candidates(spark, sf):
     assert not any("dx" in keys or "rx" in keys for keys in exchanged(Q.QUERIES["matrix_refinement"](spark, sf)))
 
@@ -66,3 +79,22 @@ def test_refinement_with_gaps(odd, spark):
             two = best([(one[1] + i * 0.25, one[2] + j * 0.25) for i in (-1, 0, 1) for j in (-1, 0, 1)], 1)
             r = got[f, s]
             assert (r.dx, r.dy, r.pixels) == two[1:] and r.rms == pytest.approx(two[0], abs=2e-3)
+
+
+def test_subpixel_search_sends_nothing(spark, sf):
+    assert exchanged(Q.QUERIES["subpixel_ncc"](spark, sf)) == []
+
+
+def test_subpixel_search_with_gaps(odd):
+    rows, ref, images, reference = odd
+    got = {r.frame: r for r in contracts.subpixel_search(images.filter("v is not null"), reference, ["frame"], 1, 0.5).collect()}
+    for f in range(3):
+        im, pairs = {(y, x): v for k, y, x, v in rows if k == f and v is not None}, {}
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                for y, x, r in ref:
+                    w, c, _ = sampled(im, y - i * 0.5, x - j * 0.5)
+                    if w > 0.999999:
+                        pairs.setdefault((j * 0.5, i * 0.5), []).append((math.copysign(math.floor(abs(c) + 0.5), c), r))
+        key, ncc = plain_best(pairs)
+        assert (got[f].dx, got[f].dy) == key and got[f].ncc == pytest.approx(ncc, abs=1e-8)
