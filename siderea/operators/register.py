@@ -13,17 +13,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siderea.operators.compare import pearson
+from siderea.operators import whole
 
 
 def ncc_search(images: DataFrame, reference: DataFrame, by: list[str], reach: int) -> DataFrame:
     """The whole shift (dx, dy) within reach whose overlap correlates best with reference (y, x, v); first by dy, dx of equals."""
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
-    m = images.select(*by, "y", "x", F.col("v").alias("c"), F.explode(steps).alias("s"))
-    m = m.select(*by, "s.dy", "s.dx", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "c")
-    score = pearson(m.join(reference.select("y", "x", F.col("v").alias("r")), ["y", "x"]), [*by, "dy", "dx"]).withColumn("ncc", F.round("r", 9))
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("ncc"), "dy", "dx")
-    return score.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(*by, "dx", "dy", "ncc")
+    plane, side = whole.plane(reference), 2 * reach + 1
+
+    def score(it):
+        for b in it:
+            y0, x0, h, w = whole.extent(b.column("pixels"))
+            c, c_there, c_ok = whole.canvas(b.column("pixels"), y0, x0, h, w)
+            # a column for each shift: what of the reference lies under each pixel
+            under = [whole.canvas(plane, y0 + dy, x0 + dx, h, w) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+            r, r_there, r_ok = (np.concatenate([u[i] if len(u[i]) else np.zeros((1, h * w), u[i].dtype) for u in under]).T for i in range(3))
+            c, kind = whole.exact(c), np.int64 if c.dtype.kind == r.dtype.kind == "i" else np.float64
+            whole.exact(r.T)
+            c, r = c.astype(kind), r.astype(kind)
+            n = c_there.astype(np.int64) @ r_there.astype(np.int64)
+            both = c_ok.astype(np.int64) @ r_ok.astype(np.int64)
+            p = whole.pearson(n, c @ r_there.astype(kind), c_there.astype(kind) @ r, (c * c) @ r_there.astype(kind), c_there.astype(kind) @ (r * r), c @ r)
+            yield whole.added(b.select(by), "scores", whole.scores(n, np.where(both > 0, p, np.nan)))
+
+    found = whole.gather(images, by)
+    k = whole.best(found.mapInArrow(score, whole.fields(found, by) + whole.SCORES), by)
+    return k.select(*by, (F.col("k") % side - reach).alias("dx"), (F.expr(f"k div {side}").cast("int") - reach).alias("dy"), "ncc")
 
 
 def similarity(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from siderea.model import DQ_FLAGS, QualityGate, Rejection
 from siderea.operators import calibrate, compare, ledger, localnorm, matching, quality, register, stack, stars, tuning, warp
 from siderea.sources import fits
 from siderea.sources.shared import shared_folder
-from siderea.sources.tables import IMAGES_SQL, SAMPLES_SQL, cents, images, samples, table
+from siderea.sources.tables import IMAGES_SQL, SAMPLES_SQL, cents, images, samples, table, whole_images
 from siderea.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,7 +556,7 @@ def lanczos_warp(spark, sf):
 
 @query(f"WITH {IMAGES_SQL}, s AS (SELECT i.frame, dy, dx, CAST(count(*) AS DOUBLE) AS n, CAST(sum(i.v) AS DOUBLE) AS sx, CAST(sum(r.v) AS DOUBLE) AS sy, CAST(sum(i.v * i.v) AS DOUBLE) AS sxx, CAST(sum(r.v * r.v) AS DOUBLE) AS syy, CAST(sum(i.v * r.v) AS DOUBLE) AS sxy FROM images i, range(-2, 3) a(dy), range(-2, 3) b(dx), images r WHERE r.frame = 0 AND r.y = i.y + dy AND r.x = i.x + dx AND i.frame < 200 GROUP BY i.frame, dy, dx), p AS (SELECT frame, dx, dy, round((n * sxy - sx * sy) / (sqrt(greatest(n * sxx - sx * sx, 0)) * sqrt(greatest(n * syy - sy * sy, 0))), 9) AS ncc FROM s) SELECT frame, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, round(ncc, 6) AS ncc FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ncc DESC, dy, dx) AS k FROM p) WHERE k = 1".replace(" AND i.frame < 200", ""))
 def ncc_shift_search(spark, sf):
-    im = images(spark, sf)
+    im = whole_images(spark, sf)
     return rounded(register.ncc_search(im, im.filter("frame = 0"), ["frame"], 2), "ncc")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siderea.operators import replay
+from siderea.operators import register, replay
 from siderea.plans import queries as Q
 from siderea.plans import contracts, verify  # noqa: F401
 
@@ -98,3 +98,17 @@ def test_subpixel_search_with_gaps(odd):
                         pairs.setdefault((j * 0.5, i * 0.5), []).append((math.copysign(math.floor(abs(c) + 0.5), c), r))
         key, ncc = plain_best(pairs)
         assert (got[f].dx, got[f].dy) == key and got[f].ncc == pytest.approx(ncc, abs=1e-8)
+
+
+def test_shift_search_sends_nothing(spark, sf):
+    assert exchanged(Q.QUERIES["ncc_shift_search"](spark, sf)) == []
+
+
+def test_shift_search_with_gaps(odd):
+    rows, ref, images, reference = odd
+    at = {(y, x): v for y, x, v in ref}
+    got = {r.frame: r for r in register.ncc_search(images.filter("v is not null"), reference, ["frame"], 2).collect()}
+    for f in range(3):
+        pairs = {(dx, dy): [(v, at[y + dy, x + dx]) for k, y, x, v in rows if k == f and v is not None and (y + dy, x + dx) in at] for dy in range(-2, 3) for dx in range(-2, 3)}
+        key, ncc = plain_best({k: p for k, p in pairs.items() if p})
+        assert (got[f].dx, got[f].dy) == key and got[f].ncc == pytest.approx(ncc, abs=1e-8)
