@@ -12,8 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from siderea.model import Rejection
 
@@ -39,49 +42,99 @@ def to_pixels(tiles: DataFrame, by: list[str], *arrays: str) -> DataFrame:
     return p.select(*by, (F.col("y0") + F.expr("_i div w").cast("int")).alias("y"), (F.col("x0") + F.col("_i") % F.col("w")).alias("x"), *[value(a) for a in arrays])
 
 
-def _canvas(p: pd.DataFrame, y0: int, x0: int, y1: int, x1: int) -> np.ndarray:
-    """The region [y0, y1) x [x0, x1) from pieces of tiles; NaN where there are none."""
-    out = np.full((y1 - y0, x1 - x0), np.nan)
-    for y, x, h, w, data in zip(p["y0"], p["x0"], p["h"], p["w"], p["data"], strict=True):
-        out[y - y0 : y - y0 + h, x - x0 : x - x0 + w] = np.asarray(data, float).reshape(h, w)
-    return out
+def _flat(data: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, null as NaN, and where each list begins and the last ends."""
+    ends = data.offsets.to_numpy()
+    return np.asarray(data.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False), float), ends - ends[0]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of such sizes from values in a row; NaN is null."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.float64(), mask=np.isnan(values)))
+
+
+def _whole_groups(df: DataFrame, keys: list[str], cells: int, run: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """run(batch, starts) over batches of whole groups, rows of equal keys; starts are the first rows of each. So many groups come at once that their
+    data, and `cells` values for each, are about a million; one at least."""
+
+    def some(b: pa.RecordBatch, starts: np.ndarray):
+        ends = b.column("data").offsets.to_numpy().astype(np.int64)[[*starts, b.num_rows]] + np.arange(len(starts) + 1) * cells
+        at, rows = 0, [*starts.tolist(), b.num_rows]
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")) - 1)
+            yield run(b.slice(rows[at], rows[to] - rows[at]), starts[at:to] - rows[at])
+            at = to
+
+    def batches(it):
+        left = None
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            b = pa.concat_batches([left, b]) if left is not None else b
+            change = np.zeros(b.num_rows - 1, bool)
+            for c in keys:
+                code = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                change |= code[1:] != code[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            if len(starts) > 1:
+                yield from some(b.slice(0, starts[-1]), starts[:-1])
+            left = b.slice(starts[-1])
+        if left is not None:
+            yield from some(left, np.zeros(1, np.int64))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
 
 
 def stencil(tiles: DataFrame, by: list[str], tile: int, halo: int, f: Callable[[np.ndarray, int, int], dict[str, np.ndarray]], fields: str) -> DataFrame:
     """f(region, y, x) for each tile: region is the tile with `halo` (at most tile) pixels on each side, NaN beyond the image, and starts at (y, x);
     it returns columns (fields). Tiles send their neighbours borders alone."""
     part = _by(tiles, by) + "ty int, tx int, " + TILE
+    kinds = to_arrow_schema(StructType.fromDDL(_by(tiles, by) + fields))
 
     def borders(it):
-        for p in it:
-            rows = []
-            for r in p.itertuples(index=False):
-                key, a = tuple(getattr(r, c) for c in by), np.asarray(r.data, float).reshape(r.h, r.w)
+        for b in it:
+            y0, x0, h, w = (b.column(c).to_numpy() for c in ("y0", "x0", "h", "w"))
+            v, at = _flat(b.column("data"))
+            for hh, ww in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
+                alike = np.flatnonzero((h == hh) & (w == ww))
+                a = v[at[alike][:, None] + np.arange(hh * ww)].reshape(-1, hh, ww)
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
-                        ys, xs = (slice(0, halo) if d < 0 else slice(max(0, n - halo), n) if d > 0 else slice(0, n) for d, n in ((dy, r.h), (dx, r.w)))
-                        b = a[ys, xs]
-                        ty, tx = r.y0 // tile + dy, r.x0 // tile + dx
-                        if b.size and ty >= 0 and tx >= 0:
-                            rows.append((*key, ty, tx, r.y0 + ys.start, r.x0 + xs.start, *b.shape, b.ravel()))
-            yield pd.DataFrame(rows, columns=[*by, "ty", "tx", "y0", "x0", "h", "w", "data"])
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(p["ty"].iloc[0]), int(p["tx"].iloc[0])
-        own = p[(p["y0"] // tile == ty) & (p["x0"] // tile == tx)]
-        if not len(own):  # a border beyond the image
-            return pd.DataFrame(columns=names)
-        h, w = int(own["h"].iloc[0]), int(own["w"].iloc[0])
-        y, x = ty * tile - halo, tx * tile - halo
-        near = p[(p["y0"] < y + h + 2 * halo) & (p["x0"] < x + w + 2 * halo)]
-        got = f(_canvas(near, y, x, y + h + 2 * halo, x + w + 2 * halo), y, x)
-        out = pd.DataFrame(got)
-        for c in by:
-            out[c] = p[c].iloc[0]
-        return out[names]
-
-    names = [*by, *[x.split()[0] for x in fields.split(", ")]]
-    return tiles.select(*by, "y0", "x0", "h", "w", "data").mapInPandas(borders, part).groupBy(*by, "ty", "tx").applyInPandas(one, _by(tiles, by) + fields)
+                        ys, xs = (slice(0, min(halo, n)) if d < 0 else slice(max(0, n - halo), n) if d > 0 else slice(0, n) for d, n in ((dy, hh), (dx, ww)))
+                        ty, tx = y0[alike] // tile + dy, x0[alike] // tile + dx
+                        there = (ty >= 0) & (tx >= 0)
+                        piece = a[there, ys, xs]
+                        if not piece.size:
+                            continue
+                        n, size = len(piece), piece.shape[1:]
+                        own = alike[there]
+                        numbers = [ty[there], tx[there], y0[own] + ys.start, x0[own] + xs.start, np.full(n, size[0]), np.full(n, size[1])]
+                        keys = b.select(by).take(pa.array(own)).columns
+                        yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c.astype(np.int32)) for c in numbers], _lists(piece.ravel(), np.full(n, size[0] * size[1]))], names=[*by, "ty", "tx", "y0", "x0", "h", "w", "data"])
+
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        ty, tx, y0, x0, h, w = (b.column(c).to_pylist() for c in ("ty", "tx", "y0", "x0", "h", "w"))
+        v, at = _flat(b.column("data"))
+        got, rows = [], []
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+            i, j = ty[first], tx[first]
+            own = [k for k in range(first, end) if y0[k] // tile == i and x0[k] // tile == j]
+            if not own:  # a border beyond the image
+                continue
+            y, x, tall, wide = i * tile - halo, j * tile - halo, h[own[0]] + 2 * halo, w[own[0]] + 2 * halo
+            region = np.full((tall, wide), np.nan)
+            for k in range(first, end):
+                a, c = y0[k] - y, x0[k] - x
+                if a < tall and c < wide:
+                    region[a : a + h[k], c : c + w[k]] = v[at[k] : at[k + 1]].reshape(h[k], w[k])[: tall - a, : wide - c]
+            got.append(f(region, y, x))
+            rows.append(first)
+        columns = [np.concatenate([np.asarray(g[c]) for g in got]) if got else np.zeros(0) for c in names]
+        keys = b.select(by).take(pa.array(np.repeat(rows, [len(g[names[0]]) for g in got]).astype(np.int64))).columns
+        return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, mask=np.isnan(c) if c.dtype.kind == "f" else None).cast(kinds.field(n).type) for n, c in zip(names, columns, strict=True)]], names=[*by, *names])
+
+    names = [x.split()[0] for x in fields.split(", ")]
+    return _whole_groups(tiles.select(*by, "y0", "x0", "h", "w", "data").mapInArrow(borders, part), [*by, "ty", "tx"], tile * tile, run, _by(tiles, by) + fields)
 
 
 def local_maxima(tiles: DataFrame, by: list[str], tile: int, threshold: float) -> DataFrame:
@@ -106,7 +159,7 @@ KERNELS: dict[str, tuple[Callable[[np.ndarray], np.ndarray], int]] = {
 def warp(tiles: DataFrame, by: list[str], matrices: DataFrame, tile: int, height: int, width: int, kernel: str = "bilinear") -> DataFrame:
     """tiles seen through each image's own matrix (by, matrix: nine numbers by row, moving to reference), on the reference's grid; NaN where the
     kernel would leave the image or meets no value. A source tile goes to the target tiles that its corners, moved, enclose."""
-    k, r = KERNELS[kernel]
+    k_, r = KERNELS[kernel]
     side = _by(tiles, by) + "ty int, tx int, matrix array<double>, " + TILE
     rows_of, cols_of = -(-height // tile), -(-width // tile)
     cells = F.explode(F.sequence(F.lit(0), F.lit(rows_of * cols_of - 1)))
@@ -114,50 +167,68 @@ def warp(tiles: DataFrame, by: list[str], matrices: DataFrame, tile: int, height
     grid = matrices.select(*by, "matrix", cells.alias("_c")).select(*by, F.expr(f"cast(_c div {cols_of} as int)").alias("ty"), F.expr(f"cast(_c % {cols_of} as int)").alias("tx"), "matrix", *[F.lit(0).alias(c) for c in ("y0", "x0", "h", "w")], F.array().cast("array<double>").alias("data"))
 
     def spread(it):
-        for p in it:
-            rows = []
-            for q in p.itertuples(index=False):
-                m = np.asarray(q.matrix, float).reshape(3, 3)
-                ys, xs = (q.y0 - r, q.y0 + q.h - 1 + r), (q.x0 - r, q.x0 + q.w - 1 + r)
-                c = np.array([(x, y, 1.0) for y in ys for x in xs]) @ m.T
-                c = c[:, :2] / c[:, 2:]
-                (ax, ay), (bx, by_) = np.floor(c.min(axis=0)).astype(int), np.ceil(c.max(axis=0)).astype(int)
-                key = tuple(getattr(q, n) for n in by)
-                for ty in range(max(0, ay // tile), min(rows_of - 1, by_ // tile) + 1):
-                    for tx in range(max(0, ax // tile), min(cols_of - 1, bx // tile) + 1):
-                        rows.append((*key, ty, tx, list(m.ravel()), q.y0, q.x0, q.h, q.w, q.data))
-            yield pd.DataFrame(rows, columns=[*by, "ty", "tx", "matrix", "y0", "x0", "h", "w", "data"])
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, key = int(p["ty"].iloc[0]), int(p["tx"].iloc[0]), {c: p[c].iloc[0] for c in by}
-        y, x = np.mgrid[ty * tile : min(height, (ty + 1) * tile), tx * tile : min(width, (tx + 1) * tile)].astype(float)
-        i = np.linalg.inv(np.asarray(p["matrix"].iloc[0], float).reshape(3, 3))
+        for b in it:
+            y0, x0, h, w = (b.column(c).to_numpy().astype(float) for c in ("y0", "x0", "h", "w"))
+            m = _flat(b.column("matrix"))[0].reshape(-1, 3, 3)
+            ys, xs = (y0 - r, y0 + h - 1 + r), (x0 - r, x0 + w - 1 + r)
+            c = np.stack([np.stack([x, y, np.ones(len(x))], axis=1) for y in ys for x in xs], axis=1) @ m.transpose(0, 2, 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = c[:, :, :2] / c[:, :, 2:]
+                lo, hi = np.floor(c.min(axis=1)).astype(int), np.ceil(c.max(axis=1)).astype(int)
+            (fx, fy), (lx, ly) = np.maximum(lo // tile, 0).T, np.minimum(hi // tile, [cols_of - 1, rows_of - 1]).T
+            wide, tall = np.maximum(lx - fx + 1, 0), np.maximum(ly - fy + 1, 0)
+            own = np.repeat(np.arange(b.num_rows), wide * tall)
+            i = np.arange(len(own)) - np.repeat(np.cumsum(wide * tall) - wide * tall, wide * tall)
+            p = b.take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*p.select(by).columns, pa.array((fy[own] + i // wide[own]).astype(np.int32)), pa.array((fx[own] + i % wide[own]).astype(np.int32)), *p.select(["matrix", "y0", "x0", "h", "w", "data"]).columns], names=[*by, "ty", "tx", "matrix", "y0", "x0", "h", "w", "data"])
+
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        ty, tx = (b.column(c).to_numpy()[starts].astype(np.int64) for c in ("ty", "tx"))
+        of = np.repeat(np.arange(len(starts)), np.diff([*starts, b.num_rows]))
+        v, at = _flat(b.column("data"))
+        y0, x0, h, w = (b.column(c).to_numpy().astype(np.int64) for c in ("y0", "x0", "h", "w"))
+        # a canvas for each group, in a row, from its pieces; a group without any has none
+        some, far = h > 0, np.iinfo(np.int64).max
+        cy, cx, ey, ex = np.full(len(starts), far), np.full(len(starts), far), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for into, reduce, values in ((cy, np.minimum, y0), (cx, np.minimum, x0), (ey, np.maximum, y0 + h), (ex, np.maximum, x0 + w)):
+            reduce.at(into, of[some], values[some])
+        empty = cy == far
+        cy[empty] = cx[empty] = 0
+        ch, cw = np.where(empty, 0, ey - cy), np.where(empty, 0, ex - cx)
+        base = np.concatenate([[0], np.cumsum(ch * cw)])
+        a = np.full(base[-1] + 1, np.nan)
+        k = np.repeat(np.arange(b.num_rows), np.diff(at))
+        n = np.arange(len(v)) - at[:-1][k]
+        a[base[of[k]] + (y0[k] + n // w[k] - cy[of[k]]) * cw[of[k]] + x0[k] + n % w[k] - cx[of[k]]] = v
+        # the target's pixels, in a row
+        high, wide = np.minimum(height, (ty + 1) * tile) - ty * tile, np.minimum(width, (tx + 1) * tile) - tx * tile
+        g = np.repeat(np.arange(len(starts)), high * wide)
+        n = np.arange(len(g)) - np.repeat(np.cumsum(high * wide) - high * wide, high * wide)
+        y, x = (ty[g] * tile + n // wide[g]).astype(float), (tx[g] * tile + n % wide[g]).astype(float)
+        i = np.linalg.inv(_flat(b.column("matrix").take(pa.array(starts)))[0].reshape(-1, 3, 3))[g].transpose(1, 2, 0)
         d = i[2, 0] * x + i[2, 1] * y + i[2, 2]
         d = np.where(np.abs(d) > 1e-12, d, np.nan)
         sx, sy = (i[0, 0] * x + i[0, 1] * y + i[0, 2]) / d, (i[1, 0] * x + i[1, 1] * y + i[1, 2]) / d
         lo = r - 1 if r > 1 else 0
         with np.errstate(invalid="ignore"):
             ok = (sx >= lo) & (sy >= lo) & ((sx < width - r) & (sy < height - r) if r > 1 else (sx <= width - 1) & (sy <= height - 1))
-        out, p = np.full(y.shape, np.nan), p[p["h"] > 0]
-        if ok.any() and len(p):
-            y0, x0 = int(p["y0"].min()), int(p["x0"].min())
-            a = _canvas(p, y0, x0, int((p["y0"] + p["h"]).max()), int((p["x0"] + p["w"]).max()))
-            fy, fx = np.floor(sy[ok]).astype(int), np.floor(sx[ok]).astype(int)
-            total, weight = np.zeros(len(fy)), np.zeros(len(fy))
-            for b in range(-r + 1, r + 1):
-                for c in range(-r + 1, r + 1):
-                    g = k(sy[ok] - (fy + b)) * k(sx[ok] - (fx + c))
-                    yy, xx = fy + b - y0, fx + c - x0
-                    there = (yy >= 0) & (xx >= 0) & (yy < a.shape[0]) & (xx < a.shape[1]) & (g != 0)
-                    v = np.where(there, a[np.clip(yy, 0, a.shape[0] - 1), np.clip(xx, 0, a.shape[1] - 1)], np.nan)
-                    use = np.isfinite(v)
-                    total += np.where(use, g * v, 0)
-                    weight += np.where(use, g, 0)
-            out[ok] = np.where(np.abs(weight) > 1e-12, total / np.where(weight == 0, 1, weight), np.nan)
-        return pd.DataFrame([{**key, "y0": ty * tile, "x0": tx * tile, "h": out.shape[0], "w": out.shape[1], "data": out.ravel()}])
-
-    moved = tiles.join(matrices, by).select(*by, "matrix", "y0", "x0", "h", "w", "data").mapInPandas(spread, side)
-    return moved.unionByName(grid).groupBy(*by, "ty", "tx").applyInPandas(one, _by(tiles, by) + TILE)
+        out, g, sy, sx = np.full(y.shape, np.nan), g[ok], sy[ok], sx[ok]
+        fy, fx = np.floor(sy).astype(np.int64), np.floor(sx).astype(np.int64)
+        total, weight = np.zeros(len(fy)), np.zeros(len(fy))
+        for p in range(-r + 1, r + 1):
+            for q in range(-r + 1, r + 1):
+                s = k_(sy - (fy + p)) * k_(sx - (fx + q))
+                yy, xx = fy + p - cy[g], fx + q - cx[g]
+                there = (yy >= 0) & (xx >= 0) & (yy < ch[g]) & (xx < cw[g]) & (s != 0)
+                c = a[np.where(there, base[g] + yy * cw[g] + xx, len(a) - 1)]
+                use = np.isfinite(c)
+                total += np.where(use, s * c, 0)
+                weight += np.where(use, s, 0)
+        out[ok] = np.where(np.abs(weight) > 1e-12, total / np.where(weight == 0, 1, weight), np.nan)
+        return pa.RecordBatch.from_arrays([*b.select(by).take(pa.array(starts)).columns, *[pa.array(c.astype(np.int32)) for c in (ty * tile, tx * tile, high, wide)], _lists(out, high * wide)], names=[*by, "y0", "x0", "h", "w", "data"])
+
+    moved = tiles.join(matrices, by).select(*by, "matrix", "y0", "x0", "h", "w", "data").mapInArrow(spread, side)
+    return _whole_groups(moved.unionByName(grid), [*by, "ty", "tx"], tile * tile, run, _by(tiles, by) + TILE)
 
 
 def rejected(cube: np.ndarray, policy: Rejection) -> tuple[np.ndarray, np.ndarray]:

@@ -75,3 +75,27 @@ def test_empty_places_and_halo(spark):
     far = spark.createDataFrame([(1, [1.0, 0.0, 500.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "f int, matrix array<double>")
     w = tiles.warp(t, ["f"], far, 4, 7, 9)
     assert w.count() == 6 and tiles.to_pixels(w, ["f"], "data").filter("data is not null").count() == 0
+
+
+def test_many_groups_come_at_once(spark, sf):
+    """A warp doesn't start pandas for each tile."""
+    for name in ("tile_warp",):
+        plan = run.Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_warp_in_small_batches(spark):
+    """Groups that are cut by batches give what whole ones do."""
+    rows = [(f, y, x, float(f * 100 + y * 10 + x)) for f in range(5) for y in range(7) for x in range(9)]
+    t = tiles.from_pixels(spark.createDataFrame(rows, "f int, y int, x int, v double"), ["f"], 4)
+    m = spark.createDataFrame([(f, [1.0, 0.0, 0.5 * f, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0]) for f in range(5)], "f int, matrix array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        got = {(r.f, r.y, r.x): r.data for r in tiles.to_pixels(tiles.warp(t, ["f"], m, 4, 7, 9), ["f"], "data").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == 5 * 63
+    for (f, y, x), v in got.items():
+        sy, sx = y - 1, x - 0.5 * f
+        assert v == pytest.approx(f * 100 + sy * 10 + sx) if sy >= 0 and sx >= 0 else v is None
