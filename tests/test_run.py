@@ -78,8 +78,8 @@ def test_empty_places_and_halo(spark):
 
 
 def test_many_groups_come_at_once(spark, sf):
-    """A warp doesn't start pandas for each tile."""
-    for name in ("tile_warp",):
+    """Neither a stencil nor a warp starts pandas for each tile."""
+    for name in ("tile_local_max", "tile_warp"):
         plan = run.Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
 
