@@ -5,6 +5,8 @@ A replay shuffles on the pixel, as a stack does; what follows are partial aggreg
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siderea.operators import whole
 from siderea.operators.compare import ratio
-from siderea.operators.stack import usable_weight
+from siderea.operators.stack import dealt, usable_weight
 
 
 def two_pass(samples: DataFrame, px: list[str], method: str, low: float, high: float) -> DataFrame:
@@ -29,7 +31,7 @@ def two_pass(samples: DataFrame, px: list[str], method: str, low: float, high: f
         mean, std = F.avg(c).over(w), F.stddev_pop(c).over(w)
         return d.withColumns({"_from": mean - low * std, "_to": mean + high * std})
 
-    d = bounded(d.repartition(*px).withColumn("_x", F.when(F.col("ok"), v)), F.col("_x"))
+    d = bounded(dealt(d, px).withColumn("_x", F.when(F.col("ok"), v)), F.col("_x"))
     if method == "winsorized_sigma":
         d = d.withColumn("_clipped", F.when(F.col("ok"), F.greatest(F.least("_x", "_to"), "_from")))
         d = bounded(d, F.col("_clipped")).drop("_clipped")
@@ -45,15 +47,15 @@ def frame_contribution(d: DataFrame, px: list[str], tile: list[str], frame: str)
     master = F.coalesce(F.try_divide(F.sum(F.when(keep, F.col("v") * g)).over(w).cast("double"), total), F.lit(0.0))
     d = d.withColumns({"_g": g.cast("double"), "_total": total, "_master": master})
     delta = F.when(keep, (F.col("v") - F.col("_master")) * F.col("_g"))
-    # a sample marks its pixel once: the first by frame
-    first = F.row_number().over(Window.partitionBy(*px).orderBy(frame)) == 1
-    d = d.withColumns({"_delta": delta, "_share": F.try_divide(delta, F.col("_total")), "_first": first})
+    d = d.withColumns({"_delta": delta, "_share": F.try_divide(delta, F.col("_total"))})
     by = d.groupBy(*tile, frame).agg(
         F.count_if("ok").alias("valid"), F.count_if("keep").alias("accepted"), F.count_if("low").alias("low"), F.count_if("high").alias("high"),
-        F.avg("_delta").alias("weighted_delta"), F.coalesce(F.sum("_share"), F.lit(0.0)).alias("_sum"), F.count_if("_first").alias("_px"),
+        F.avg("_delta").alias("weighted_delta"), F.coalesce(F.sum("_share"), F.lit(0.0)).alias("_sum"),
     )
-    pixels = F.sum("_px").over(Window.partitionBy(*tile))
-    return by.withColumn("contribution", ratio(F.col("_sum"), pixels)).drop("_sum", "_px")
+    # pixels are counted apart: a mark on a pixel's first sample would sort all samples again, and a window by tile would hold a tile's frames in one task
+    pixels = d.select(*tile, *px).distinct().groupBy(*[F.col(c).alias(f"_{c}") for c in tile]).agg(F.count("*").alias("_px"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in tile])
+    return by.join(pixels, same).withColumn("contribution", ratio(F.col("_sum"), F.col("_px"))).drop("_sum", "_px", *[f"_{c}" for c in tile])
 
 
 def families(frames: DataFrame, by: list[str], order: list[str], before: int = 5, after: int = 5) -> DataFrame:

@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from siderea.model import Rejection
 
 
+def dealt(df: DataFrame, px: list[str], bytes_each: int = 4 << 20) -> DataFrame:
+    """df by pixel, in so many partitions that what a task sorts doesn't grow with the input: as Spark's estimate (of compressed files, so some
+    twentieth of what is held) says, the session's number at least."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = min(size // bytes_each, 10_000) if size < 1 << 50 else 0  # beyond that there is no estimate
+    return df.repartition(n, *px) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*px)
+
+
 def valid(v: str = "v", dq: str | None = "dq") -> Column:
     """A sample counts if it has a value and no data-quality bit."""
     ok = F.col(v).isNotNull()

@@ -58,3 +58,22 @@ def test_empty_pixel_weights_and_unknown(spark):
 def test_percentile_of_equal_values_rejects_nothing(spark):
     r, _ = run(spark, [7] * 6, rejection=Rejection("percentile", 10, 90))
     assert {(x.master, x.coverage) for x in r} == {(7.0, 6)}
+
+
+def test_replay_sorts_samples_once(spark, tmp_path):
+    """Counting a tile's pixels takes no second sort of the samples and no window by tile; partitions grow with the input."""
+    from siderea.operators import replay
+
+    rows = [(p, p % 2, f, p * 10 + f, 1 + f) for p in range(6) for f in range(4)] + [(6, 1, 9, 5, 1)]
+    s = spark.createDataFrame(rows, "px long, tile long, frame long, v long, w long")
+    d = replay.frame_contribution(replay.two_pass(s, ["px"], "sigma_clip", 9, 9), ["px"], ["tile"], "frame")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "windowspecdefinition(tile" not in plan
+    got = {(r.tile, r.frame): r.contribution for r in d.collect()}
+    for tile, pixels in ((0, [0, 2, 4]), (1, [1, 3, 5, 6])):
+        for f in range(4):
+            # of weights 1, 2, 3, 4 the mean lies at 2 beyond the first
+            assert abs(got[tile, f] - sum((f - 2) * (1 + f) / 10 for p in pixels if p < 6) / len(pixels)) < 1e-9
+    s.write.parquet(f"{tmp_path}/s")
+    big = spark.read.parquet(f"{tmp_path}/s")
+    assert S.dealt(big, ["px"], 16).rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
