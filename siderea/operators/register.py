@@ -5,15 +5,17 @@ Catalogues hold some hundred stars per frame; searches join stars or pixels of o
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siderea.operators import whole
+from siderea.operators import tiles, whole
 
 
 def ncc_search(images: DataFrame, reference: DataFrame, by: list[str], reach: int) -> DataFrame:
@@ -283,14 +285,23 @@ def best_of(ref: np.ndarray, mov: np.ndarray, hypotheses: list[np.ndarray], mode
     return best[0], len(best[1]), best[2]
 
 
+@functools.lru_cache(maxsize=4)
+def _triangles(reference: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """triangles of a reference that many frames are held against."""
+    return triangles(np.frombuffer(reference, float).reshape(-1, 2))
+
+
 def solve(ref: np.ndarray, mov: np.ndarray, model: str = "similarity", tolerance: float = 3.0, descriptor: float = 0.025, most: int = 600) -> tuple[np.ndarray, int, float]:
     """Hypotheses: whole offsets between the 35 brightest of either side, and for other models fits to triangles of like shape, corners in
     all six orders, `most` at most."""
     fit, least = FITS[model]
-    hypotheses = [fit_translation(m[None], r[None]) for r in ref[:35] for m in mov[:35]]
+    offsets = (ref[:35, None] - mov[None, :35]).reshape(-1, 2)
+    hypotheses = list(np.tile(np.eye(3), (len(offsets), 1, 1)))
+    for h, off in zip(hypotheses, offsets, strict=True):
+        h[:2, 2] = off
     if model != "translation":
         by_corners, count = (fit if least <= 3 else fit_similarity), 0
-        (tr, sr), (tm, sm) = triangles(ref), triangles(mov)
+        (tr, sr), (tm, sm) = _triangles(np.ascontiguousarray(ref, float).tobytes()), triangles(mov)
         for corners, shape in zip(tm, sm, strict=True):
             if count >= most:
                 break
@@ -325,12 +336,18 @@ def register(stars: DataFrame, reference: DataFrame, model: str = "similarity",
     """stars (frame, x, y, flux) against reference (x, y, flux), which is one frame's catalogue: a matrix for each frame."""
     ref = reference.orderBy(F.desc("flux"), "y", "x").limit(80).select("x", "y").toPandas().to_numpy(float)  # one frame's brightest
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        mov = p.sort_values(["flux", "y", "x"], ascending=[False, True, True])[["x", "y"]].to_numpy(float)[:80]
-        h, n, rms = SOLVERS[solver](ref, mov, model, tolerance) if len(ref) and len(mov) else (np.eye(3), 0, math.inf)
-        return pd.DataFrame({"frame": [p["frame"].iloc[0]], "matrix": [h.tolist()], "inliers": [n], "rms": [rms if n else None], "status": ["ok" if n >= min_inliers else "failed"]})
-
-    return stars.groupBy("frame").applyInPandas(one, "frame long, matrix array<array<double>>, inliers int, rms double, status string")
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        x, y, flux = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "flux"))
+        found = []
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+            s = slice(first, end)
+            mov = np.stack([x[s], y[s]], axis=1)[np.lexsort((x[s], y[s], -flux[s]))[:80]]
+            h, n, rms = SOLVERS[solver](ref, mov, model, tolerance) if len(ref) else (np.eye(3), 0, math.inf)
+            found.append((h.tolist(), n, rms if n else None, "ok" if n >= min_inliers else "failed"))
+        kinds = (pa.list_(pa.list_(pa.float64())), pa.int32(), pa.float64(), pa.string())
+        return pa.RecordBatch.from_arrays([b.column("frame").take(pa.array(starts)).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]], names=["frame", "matrix", "inliers", "rms", "status"])
+
+    return tiles.whole_groups(stars.select("frame", "x", "y", "flux"), ["frame"], 80, run, "frame long, matrix array<array<double>>, inliers int, rms double, status string")
 
 
 def phase_correlation(images: DataFrame, reference: DataFrame, height: int, width: int) -> DataFrame:

@@ -53,12 +53,13 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.float64(), mask=np.isnan(values)))
 
 
-def _whole_groups(df: DataFrame, keys: list[str], cells: int, run: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+def whole_groups(df: DataFrame, keys: list[str], cells: int, run: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """run(batch, starts) over batches of whole groups, rows of equal keys; starts are the first rows of each. So many groups come at once that their
     data, and `cells` values for each, are about a million; one at least."""
 
     def some(b: pa.RecordBatch, starts: np.ndarray):
-        ends = b.column("data").offsets.to_numpy().astype(np.int64)[[*starts, b.num_rows]] + np.arange(len(starts) + 1) * cells
+        ends = b.column("data").offsets.to_numpy().astype(np.int64) if "data" in b.schema.names else np.arange(b.num_rows + 1)
+        ends = ends[[*starts, b.num_rows]] + np.arange(len(starts) + 1) * cells
         at, rows = 0, [*starts.tolist(), b.num_rows]
         while at < len(starts):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")) - 1)
@@ -82,7 +83,9 @@ def _whole_groups(df: DataFrame, keys: list[str], cells: int, run: Callable[[pa.
         if left is not None:
             yield from some(left, np.zeros(1, np.int64))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
+    # a number, as Spark would otherwise put small rows into a few tasks, however long each group takes
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
 
 
 def stencil(tiles: DataFrame, by: list[str], tile: int, halo: int, f: Callable[[np.ndarray, int, int], dict[str, np.ndarray]], fields: str) -> DataFrame:
@@ -134,7 +137,7 @@ def stencil(tiles: DataFrame, by: list[str], tile: int, halo: int, f: Callable[[
         return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, mask=np.isnan(c) if c.dtype.kind == "f" else None).cast(kinds.field(n).type) for n, c in zip(names, columns, strict=True)]], names=[*by, *names])
 
     names = [x.split()[0] for x in fields.split(", ")]
-    return _whole_groups(tiles.select(*by, "y0", "x0", "h", "w", "data").mapInArrow(borders, part), [*by, "ty", "tx"], tile * tile, run, _by(tiles, by) + fields)
+    return whole_groups(tiles.select(*by, "y0", "x0", "h", "w", "data").mapInArrow(borders, part), [*by, "ty", "tx"], tile * tile, run, _by(tiles, by) + fields)
 
 
 def local_maxima(tiles: DataFrame, by: list[str], tile: int, threshold: float) -> DataFrame:
@@ -228,7 +231,7 @@ def warp(tiles: DataFrame, by: list[str], matrices: DataFrame, tile: int, height
         return pa.RecordBatch.from_arrays([*b.select(by).take(pa.array(starts)).columns, *[pa.array(c.astype(np.int32)) for c in (ty * tile, tx * tile, high, wide)], _lists(out, high * wide)], names=[*by, "y0", "x0", "h", "w", "data"])
 
     moved = tiles.join(matrices, by).select(*by, "matrix", "y0", "x0", "h", "w", "data").mapInArrow(spread, side)
-    return _whole_groups(moved.unionByName(grid), [*by, "ty", "tx"], tile * tile, run, _by(tiles, by) + TILE)
+    return whole_groups(moved.unionByName(grid), [*by, "ty", "tx"], tile * tile, run, _by(tiles, by) + TILE)
 
 
 def rejected(cube: np.ndarray, policy: Rejection) -> tuple[np.ndarray, np.ndarray]:

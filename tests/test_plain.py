@@ -121,6 +121,14 @@ def test_registered_frames_against_plain_scores(spark, sf, frames):
         assert r.inliers >= most or r.inliers == 0
 
 
+def test_registration_runs_over_batches_of_frames(spark, sf):
+    from siderea.plans import more
+
+    for d in (Q.star_registration(spark, sf), more.subpixel_registration(spark, sf)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
 def test_recommendation_and_resume_outcomes(spark):
     one = [(0, 0, 0, 0.0, 0, 0.0), (100, 50, 50, 0.5, 2, 0.01), (100, 50, 50, 0.1, 10, 0.01), (100, 50, 50, 0.1, 2, 0.1), (100, 95, 5, 0.1, 2, 0.01), (100, 5, 95, 0.1, 2, 0.01), (100, 94, 6, 0.49, 9, 0.09)]
     d = spark.createDataFrame(one, "t int, n int, p int, e double, k int, l double").coalesce(1)
